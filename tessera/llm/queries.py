@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import quality, secrets, simhash
 from .common import read
 
 
@@ -15,6 +15,7 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_secret_scans": _over_documents(secrets.secrets_digest),
     "op8_simhash_dedup": _over_documents(simhash.simhash_digest),
     "op10_quality_rules": _over_documents(quality.quality_digest),
 }
