@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, simhash
+from . import licenses, lines, quality, secrets, simhash
 from .common import read
 
 
@@ -15,9 +15,14 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_license_scans": _over_documents(licenses.licenses_digest),
+    "op6_line_dedup": _over_documents(lines.lines_digest),
     "op7_secret_scans": _over_documents(secrets.secrets_digest),
     "op8_simhash_dedup": _over_documents(simhash.simhash_digest),
     "op10_quality_rules": _over_documents(quality.quality_digest),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_license_scans": licenses.oracle(),
+    "op6_line_dedup": lines.oracle(),
+}
