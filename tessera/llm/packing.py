@@ -24,7 +24,9 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,7 +39,7 @@ CAPACITY = 2048
 END_ID = 0
 BROADCAST_RUNS = 200_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 TOKENIZER = "word_bpe_49k.json"
 # Characters that Python's str.split() takes for white space and the tokenizer does not.
 _PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
@@ -55,7 +57,8 @@ class WordEncoder:
     """Ids of a text as little-endian 32-bit bytes, by remembered white-space-separated words.
 
     The tokenizer drops white space and no token spans it, so a text's ids are
-    those of its words in order.
+    those of its words in order.  Two generations of words are kept: what was not
+    met during a whole generation is forgotten.
     """
 
     def __init__(self, path: str):
@@ -63,23 +66,38 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        import numpy as np
-
-        for word, code in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(code.ids, "<u4").tobytes()
+        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            packed = array("I", code.ids)
+            if sys.byteorder == "big":
+                packed.byteswap()
+            self.ids[word] = packed.tobytes()
 
     def encode(self, text: str) -> bytes:
         words = _SPACE.split(text) if _PYTHON_ONLY_SPACE.search(text) else text.split()
-        known = self.ids
-        new = [w for w in {*words} if w not in known]
+        if len(self.ids) > CACHE_WORDS:
+            self.ids, self.old = {}, self.ids
+        new = []
+        for word in {w for w in words if w not in self.ids}:
+            if (kept := self.old.get(word)) is None:
+                new.append(word)
+            else:
+                self.ids[word] = kept
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = [*{*words}]
             self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.ids.__getitem__, words))
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that its words outlive a task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str | Callable[[], str] = default_tokenizer_path, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -90,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str | Callable[[], str] = default_tokeniz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = None, end_id.to_bytes(4, "little")
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer() if callable(tokenizer) else tokenizer)
+            encoder = encoder or encoder_for(tokenizer() if callable(tokenizer) else tokenizer)
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encoder.encode(text.as_py() or "") + end
@@ -119,10 +137,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             while room <= capacity and not rooms[room]:
                 room += 1
             if room > capacity:
-                # no open sequence has room: open new ones, one piece in each of as many as a later
-                # round of this same length will not fill up
-                per = capacity // length
-                opened = -(-left // per)
+                # no open sequence has room: open as many as the rest of this length fills
+                opened = -(-left // (capacity // length))
                 rooms[capacity].append((sequences, opened))
                 sequences += opened
                 room = capacity
@@ -134,7 +150,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             runs.append((length, rank, rank + take - 1, first, capacity - room))
             rooms[room - length].append((first, take))
             rank, left = rank + take, left - take
-            room = max(length, room - length) if room - length >= length else room
+            if room - length >= length:  # the fuller sequences just made still have room, and fit better
+                room -= length
     return runs
 
 
