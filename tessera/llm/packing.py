@@ -30,6 +30,7 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,29 @@ _PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: Words of characters below U+0250: in composed form already, of settled letter classes, and no special token.
+_PLAIN = re.compile("[!-;=-~\xa1-\u024f]+")
+# Fixed value: the tokenizer's pattern of pieces.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
+def _packed(ids: list[int]) -> bytes:
+    codes = array("I", ids)
+    if sys.byteorder == "big":
+        codes.byteswap()
+    return codes.tobytes()
+
+
 def default_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -65,15 +89,31 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.ids: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            packed = array("I", code.ids)
-            if sys.byteorder == "big":
-                packed.byteswap()
-            self.ids[word] = packed.tobytes()
+        """Plain words skip the tokenizer's general text handling and go to its model piece by piece."""
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        rest = []
+        for word in words:
+            if _PLAIN.fullmatch(word):
+                code = b""
+                for piece in _PIECE.findall(word.lower()):
+                    known = self.pieces.get(piece)
+                    if known is None:
+                        shown = piece if piece.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode()))
+                        known = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(shown)])
+                    code += known
+                self.ids[word] = code
+            else:
+                rest.append(word)
+        if rest:
+            for word, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                self.ids[word] = _packed(code.ids)
 
     def encode(self, text: str) -> bytes:
         words = _SPACE.split(text) if _PYTHON_ONLY_SPACE.search(text) else text.split()
