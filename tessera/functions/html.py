@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The entities that native columns know.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -20,7 +21,7 @@ def unescape_native(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_nfkc(text: pd.Series) -> pd.Series:
     """All entities and NFKC; an optional step, since it leaves the JVM."""
     import unicodedata
@@ -139,7 +140,7 @@ def density_extract(html: str | None, least: float = 10.0) -> tuple[str, float]:
     return re.sub(r"\n{3,}", "\n\n", text), max(0.0, min(round(trust, 3), 0.95))
 
 
-@F.pandas_udf("text string, confidence double")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 def extract_content(html: pd.Series) -> pd.DataFrame:
     """``density_extract`` of a column; put it behind every filter and limit of a plan."""
     return pd.DataFrame([density_extract(h) for h in html], columns=["text", "confidence"])

@@ -52,7 +52,9 @@ def scores(docs: DataFrame, query: str, key: str = "pos", settings: Settings | N
     terms = list(dict.fromkeys(order))
     fields = long_fields(docs, key, list(s.weights))
     stats = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    placed = fields.select("key", "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("at", "token")).withColumn("term", stem("token")).where(_wanted(F.col("term"), terms, s))
+    words = fields.select("key", "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("at", "token"))
+    # explode of one element: else the filter would repeat the stemmer's CASE for each of its terms
+    placed = words.select("key", "field", "dl", "at", F.explode(F.array(stem("token"))).alias("term")).where(_wanted(F.col("term"), terms, s))
     postings = placed.groupBy("key", "field", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

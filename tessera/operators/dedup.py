@@ -116,7 +116,10 @@ def near_pairs(rows: DataFrame, pos: str, sets: str, threshold: float = 0.5) ->
 
     ``rows`` must hold each set once (see ``clusters``): then no band is one large group of copies.
     """
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(*[F.array_min(F.transform(sets, lambda s, i=k * ROWS + r: F.xxhash64(s, F.lit(i)))) for r in range(ROWS)]).alias("h")) for k in range(BANDS)])
+    def least(i: int) -> Column:
+        return F.array_min(F.transform(sets, lambda s: F.xxhash64(s, F.lit(i))))
+
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(*[least(k * ROWS + r) for r in range(ROWS)]).alias("h")) for k in range(BANDS)])
     keyed = rows.where(F.size(sets) > 0).select(F.col(pos).alias("pos"), F.col(sets).alias("s"), F.explode(bands).alias("k"))
     keys = keyed.select("pos", "k.band", "k.h")
     pairs = keys.alias("x").join(keys.alias("y"), ["band", "h"]).where(F.col("x.pos") < F.col("y.pos")).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,6 @@ def posterior_mean(successes: Column, failures: Column) -> Column:
 
 def beta_draws(of: DataFrame, seed: int, name: str = "sample") -> DataFrame:
     """``of`` and one Beta(successes + 1, failures + 1) draw for each row, reproducible by ``seed`` and the row's content."""
-    import numpy as np
-    import pandas as pd
-
     row = F.xxhash64(*of.columns)
 
     @F.pandas_udf("double")
