@@ -17,6 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LATE = "1 hour"
 
 
+def _at(seconds: float) -> pd.Timestamp:
+    """Seconds of the epoch to the microsecond."""
+    return pd.Timestamp(round(seconds * 1e6), unit="us")
+
+
 def arms(log: DataFrame, *keys: str) -> DataFrame:
     """Running counters for each arm; use output mode update (or complete)."""
     return log.groupBy(*keys).agg(F.count_if("success").alias("successes"), F.count_if(~F.col("success")).alias("failures"), F.avg("latency_ms").alias("avg_latency_ms"), F.max("ts").alias("last_seen"))
@@ -58,7 +63,7 @@ def breaker(log: DataFrame, key: str, threshold: int = 5, timeout_s: float = 300
         if state.hasTimedOut:
             if name == "open":
                 name = "half_open"
-                out.append((keys[0], pd.Timestamp(opened + timeout_s, unit="s"), name, failures))
+                out.append((keys[0], _at(opened + timeout_s), name, failures))
         else:
             rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
             for ok, ts in zip(rows["success"], rows["ts"], strict=True):
@@ -66,7 +71,7 @@ def breaker(log: DataFrame, key: str, threshold: int = 5, timeout_s: float = 300
                 at = ts.timestamp()
                 if name == "open" and at - opened > timeout_s:
                     name = "half_open"
-                    out.append((keys[0], pd.Timestamp(opened + timeout_s, unit="s"), name, failures))
+                    out.append((keys[0], _at(opened + timeout_s), name, failures))
                     before = name
                 if ok:
                     name, failures = "closed", 0
@@ -80,7 +85,8 @@ def breaker(log: DataFrame, key: str, threshold: int = 5, timeout_s: float = 300
         if name == "open":
             due = int((opened + timeout_s) * 1000) + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "ts", "state", "failure_count"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "ts", "state", "failure_count"])
 
     watched = log.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "ts", "success")
     return watched.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, state string, failure_count int", "name string, failures int, opened double", "append", GroupStateTimeout.EventTimeTimeout)
@@ -113,19 +119,20 @@ def fresh_cache(entries: DataFrame, key: str, ttl_seconds: int, late: str = "0 s
         out = []
         if state.hasTimedOut:
             digest, at = state.get
-            out.append((keys[0], pd.Timestamp(at + ttl_seconds, unit="s"), "expired"))
+            out.append((keys[0], _at(at + ttl_seconds), "expired"))
             state.remove()
         else:
             digest, at = state.get if state.exists else ("", -1.0)
             for ts, new in pd.concat(list(batches)).sort_values("ts", kind="stable")[["ts", "digest"]].itertuples(index=False):
                 if at >= 0 and ts.timestamp() - at > ttl_seconds:
-                    out.append((keys[0], pd.Timestamp(at + ttl_seconds, unit="s"), "expired"))
+                    out.append((keys[0], _at(at + ttl_seconds), "expired"))
                     at = -1.0
                 out.append((keys[0], ts, "stored" if at < 0 else "unchanged" if new == digest else "changed"))
                 digest, at = new, ts.timestamp()
             state.update((digest, at))
             state.setTimeoutTimestamp(max(int((at + ttl_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "ts", "event"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "ts", "event"])
 
     rows = entries.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "ts", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
     return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, event string", "digest string, at double", "append", GroupStateTimeout.EventTimeTimeout)
