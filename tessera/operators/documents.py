@@ -63,7 +63,7 @@ def truncate(text: Column, max_chars: int | None = None, max_bytes: int | None =
         return F.substring(text, 1, max_chars)
     if max_bytes is not None:
         head = F.substring(F.encode(text, "UTF-8"), 1, max_bytes)
-        return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.regexp_replace(F.decode(head, "UTF-8"), "\ufffd$", ""))
+        return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.regexp_replace(F.make_valid_utf8(head.cast("string")), "\ufffd+$", ""))
     return text
 
 

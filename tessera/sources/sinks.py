@@ -35,7 +35,8 @@ def write_json(rows: DataFrame, path: str, max_line: int = LINE, skip: tuple[str
 
 def wrap_lines(text: Column, limit: int = LINE) -> Column:
     """Lines of at most ``limit`` characters, cut at white space where there is some, with nothing lost but that white space."""
-    return F.filter(F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{limit}}}(?=\s|$)|\S{{{limit}}})\s*"), F.lit(1)), lambda x: x != "")
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{limit}}}(?=\s|$)|\S{{{limit}}})\s*"), F.lit(1))
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
 
 
 def write_pages(rows: DataFrame, path: str, text: str = "main_content") -> None:
