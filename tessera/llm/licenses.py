@@ -22,6 +22,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,9 +152,11 @@ def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(template, license, bigram, t_size, low, high)."""
-    rows = [(i, name, b, len(bs)) for i, name, bs in template_rows(templates) for b in bs]
+    rows = [{"template": i, "license": name, "bigram": b, "t_size": len(bs)} for i, name, bs in template_rows(templates) for b in bs]
     low, high = _bounds(F.col("t_size"), threshold)
-    table = spark.createDataFrame(rows, "template int, license string, bigram string, t_size int").withColumn("low", low).withColumn("high", high)
+    # one literal: rows made by Python would be unpickled by Python workers
+    parsed = F.from_json(F.lit(json.dumps(rows)), "array<struct<template:int,license:string,bigram:string,t_size:int>>")
+    table = spark.range(1).select(F.inline(parsed)).withColumn("low", low).withColumn("high", high)
     return F.broadcast(table) if len(rows) <= BROADCAST_BIGRAMS else table
 
 
