@@ -16,7 +16,7 @@ row for each position:
 3. *Groups.*  The anchors of one key meet and an index of their right contexts (a
    suffix array or a suffix tree, the operators differ in this) yields groups
    with a common right extension, deepest first; in each the left contexts tell
-   how far its members agree.  A key with more than ``most`` anchors is split by
+   how far its members agree.  A key in more than ``most`` texts is split by
    longer prefixes instead, namely by each whole window around the anchor, and
    such groups are streamed, not held.
 4. What is covered goes back to the texts, where runs are merged.
@@ -24,8 +24,8 @@ row for each position:
 Equal texts are one text for all of this (a copy of a text covers it whole), and
 one shuffle of the texts by document serves all steps: Spark reuses the exchange.
 
-Texts are addressed by their XXH64; keys are 64-bit hashes too, but a chance
-collision of keys covers nothing unless the contexts agree as well.
+Texts are addressed by 128 bits.  Keys are 64-bit hashes, but a chance collision
+of keys covers nothing unless the contexts agree as well.
 """
 
 from __future__ import annotations
@@ -36,15 +36,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow
+from .common import bound_arrow, cut
 
 #: Starts handled at once, so that the arrays stay in a core's cache.
 BLOCK = 1 << 15
 _U = np.uint64
 _POSITION_BITS = 20
+#: What a row of the contexts is: an anchor's surroundings, a whole window by its hash, or a cover that its own text settled (its end is the key).
+CONTEXT, WHOLE, COVER = 0, 1, 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 #: From the right contexts (and the unit, bytes of a token): groups (common right tokens, members), children before parents.
@@ -64,7 +66,7 @@ class Frame:
     contexts: Callable[[object, np.ndarray], np.ndarray]  # tokens, hashes -> array of the context's units
     join: Callable[[object, list[tuple[int, int]]], bytes]  # tokens, kept runs -> bytes
     index: GroupIndex
-    most: int = 4096
+    most: int = 1 << 16
 
     @property
     def key(self) -> int:
@@ -142,43 +144,59 @@ def group_cover(rights: list[bytes], lefts: list[bytes], frame: Frame) -> list[l
     for i, pair in enumerate(zip(lefts, rights, strict=True)):
         same.setdefault(pair, []).append(i)
     distinct = list(same)
-    for pair, members in same.items():
-        left, right = len(pair[0]) // unit, len(pair[1]) // unit
-        if len(members) > 1 and left + right >= slack:
+    for (left, right), members in same.items():
+        if len(members) > 1 and (len(left) + len(right)) // unit >= slack:
             for i in members:
-                cover[i].append((left, right))
+                cover[i].append((len(left) // unit, len(right) // unit))
     if len(distinct) == 1:
         return cover
     left_rank = {x: r for r, x in enumerate(sorted({p[0] for p in distinct}))}
     rank = [left_rank[p[0]] for p in distinct]
     number = [int.from_bytes(p[0].ljust(unit * slack, b"\0"), "big") for p in distinct]
     length = [len(p[0]) // unit for p in distinct]
-    reached = [0] * len(distinct)
+
+    def agree(i: int, j: int) -> int:
+        return min(length[i], length[j], common(number[i], number[j], bits, unit))
+
+    # how far any other member agrees to the left: a member that has reached it is done, since children come first
+    most = [0] * len(distinct)
+    everyone = sorted(range(len(distinct)), key=rank.__getitem__)
+    for i, j in zip(everyone, everyone[1:], strict=False):
+        far = agree(i, j)
+        most[i], most[j] = max(most[i], far), max(most[j], far)
+    reached = [-1] * len(distinct)
+    done = np.zeros(len(distinct), bool)
+    for i, pair in enumerate(distinct):
+        if len(same[pair]) > 1 and (len(pair[0]) + len(pair[1])) // unit >= slack:
+            reached[i], done[i] = length[i], True
+    ranks = np.array(rank)
     for depth, members in frame.index([p[1] for p in distinct], unit):
         need = slack - depth
-        if all(reached[i] >= length[i] for i in members):
-            continue  # a shallower group cannot show more to the left of its members
-        order = sorted(members, key=rank.__getitem__)
-        before = 0
-        for x, i in enumerate(order):
-            after = 0
-            if x + 1 < len(order):
-                j = order[x + 1]
-                after = min(length[i], length[j], common(number[i], number[j], bits, unit))
-            left = max(before, after)
-            if left >= need and (left > reached[i] or not cover_has(cover[same[distinct[i]][0]], left, depth)):
+        group = np.array(members)
+        active = group[~done[group]]
+        if not len(active):
+            continue
+        group = group[np.argsort(ranks[group], kind="stable")]
+        ordered = ranks[group]
+        low, high = (np.searchsorted(ordered, ranks[active], side=side) for side in ("left", "right"))
+        for i, x, y in zip(active.tolist(), low.tolist(), high.tolist(), strict=True):
+            if y - x > 1:  # another member has the same left context
+                left = length[i]
+            else:
+                left = max(agree(i, int(group[x - 1])) if x else 0, agree(i, int(group[y])) if y < len(group) else 0)
+            if left >= need and left > reached[i]:
                 for k in same[distinct[i]]:
                     cover[k].append((left, depth))
-                reached[i] = max(reached[i], left)
-            before = after
+                reached[i] = left
+                done[i] = left >= most[i]
     return cover
 
 
-def cover_has(extents: list[tuple[int, int]], left: int, right: int) -> bool:
-    return any(a >= left and b >= right for a, b in extents)
+# ------------------------------------------------------------------ dataflow
+def address(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
-# ------------------------------------------------------------------ dataflow
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -188,41 +206,49 @@ def _pass_columns(arrays: list, names: list[str]) -> pa.RecordBatch:
 
 
 def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
-    """Of texts by address: (cid, copies, rep) and (cid, tokens, removed, spans, kept_sha256); the second only of texts with a repeat."""
+    """(address, copies, rep, cid) of each distinct text and (rep, cid, tokens, removed, spans, kept_sha256) of those with a repeat.
+
+    ``address`` is 128 bits of the text; inside, the pair of ``rep`` (its smallest
+    doc_id) and ``cid`` (64 bits, which tells rows of a repeated doc_id apart) stands for it.
+    """
     spark = docs.sparkSession
     bound_arrow(spark)
     texts = _texts(docs)
-    address = F.xxhash64("text")
-    classes = texts.select("doc_id", address.alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
+    cid = F.xxhash64("text")
+    each = texts.select("doc_id", address(F.col("text")).alias("address"), cid.alias("cid"))
+    classes = each.groupBy("address").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.min("cid").alias("cid"))
 
     def fetch(side: DataFrame) -> DataFrame:
         """Texts joined to (rep, cid, ...); the side is the small one, so texts are never sorted."""
         joined = texts.join(side.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-        return joined.where(address == F.col("cid"))
+        return joined.where(cid == F.col("cid"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, reps, cids, places = [], [], [], []
+            keys, reps, cids, places, firsts = [], [], [], [], []
             for text, rep, cid in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("cid").to_pylist(), strict=True):
                 at, key = anchors(frame.hashes(frame.split(text.as_py())), frame)
+                first = np.zeros(len(key), np.int32)
+                first[np.unique(key, return_index=True)[1]] = 1
+                firsts.append(first)
                 keys.append(key)
                 places.append(at)
                 reps.append(np.full(len(at), rep, np.int64))
                 cids.append(np.full(len(at), cid, np.int64))
             if keys:
-                yield _pass_columns([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (reps, cids, places))], ["key", "rep", "cid", "at"])
+                yield _pass_columns([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (reps, cids, places, firsts))], ["key", "rep", "cid", "at", "first"])
 
-    marks = fetch(classes.select("rep", "cid")).select("text", "rep", "cid").mapInArrow(find, "key long, rep long, cid long, at long")
-    twice = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    marks = fetch(classes.select("rep", "cid")).select("text", "rep", "cid").mapInArrow(find, "key long, rep long, cid long, at long, first int")
+    twice = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("texts")).where(F.col("n") > 1)
     wanted = (
         marks.join(twice, "key")
-        .groupBy("rep", "cid").agg(F.collect_list(F.struct("at", "key", (F.col("n") > frame.most).alias("hot"))).alias("marks"))
+        .groupBy("rep", "cid").agg(F.collect_list(F.struct("at", "key", (F.col("texts") > frame.most).alias("hot"))).alias("marks"))
     )
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slack, size, unit = frame.slack, frame.key, frame.unit
-        names = ["key", "whole", "rep", "cid", "at", "left", "right"]
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ["key", "kind", "rep", "cid", "at", "left", "right"]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             for text, rep, cid, listed in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("cid").to_pylist(), batch.column("marks"), strict=True):
                 tokens = frame.split(text.as_py())
@@ -230,6 +256,7 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
                 units = frame.contexts(tokens, h)
                 raw, back = units.tobytes(), units[::-1].tobytes()
                 total, rows, sums = len(h), [], None
+                met: dict[tuple[int, bytes, bytes], list[int]] = {}
                 for mark in listed.as_py():
                     at, key = mark["at"], mark["key"]
                     if mark["hot"]:
@@ -237,16 +264,24 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
                         first, last = max(0, at - slack), min(at, total - frame.width)
                         at_all = np.arange(first, last + 1)
                         whole = _mix(_runs(sums, at_all, frame.width) + _U(1)).view(np.int64)
-                        rows += [(k, True, rep, cid, s, b"", b"") for k, s in zip(whole.tolist(), at_all.tolist(), strict=True)]
+                        rows += [(k, WHOLE, rep, cid, s, b"", b"") for k, s in zip(whole.tolist(), at_all.tolist(), strict=True)]
                     else:
                         low = total - at
-                        rows.append((key, False, rep, cid, at, back[low * unit : (low + slack) * unit], raw[(at + size) * unit : (at + size + slack) * unit]))
+                        met.setdefault((key, back[low * unit : (low + slack) * unit], raw[(at + size) * unit : (at + size + slack) * unit]), []).append(at)
+                settled = []
+                for (key, left, right), places in met.items():
+                    if len(places) > 1 and (len(left) + len(right)) // unit >= slack:
+                        # met again in this very text, as in a periodic one: covered already, and one of them stands for all
+                        settled += [(at - len(left) // unit, at + size + len(right) // unit) for at in places]
+                        places = places[:1]
+                    rows += [(key, CONTEXT, rep, cid, at, left, right) for at in places]
+                rows += [(end, COVER, rep, cid, start, b"", b"") for start, end in merged(settled)]
                 for x in range(0, len(rows), 4096):
                     yield _pass_columns([pa.array(c, t) for c, t in zip(zip(*rows[x : x + 4096], strict=True), kinds, strict=True)], names)
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    contexts = fetch(wanted).select("text", "rep", "cid", "marks").mapInArrow(surround, "key long, whole boolean, rep long, cid long, at long, left binary, right binary")
-    met = contexts.repartition(parts, "key", "whole").sortWithinPartitions("key", "whole", "cid", "at")
+    contexts = fetch(wanted).select("text", "rep", "cid", "marks").mapInArrow(surround, "key long, kind int, rep long, cid long, at long, left binary, right binary")
+    met = contexts.repartition(parts, "key", "kind").sortWithinPartitions("key", "kind", "cid", "at")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
@@ -268,14 +303,16 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
         now = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != now:
+                if row[1] == COVER:
+                    out.append((row[2], row[3], row[4], row[0]))
+                elif row[:2] != now:
                     solve(held)
                     held, last, now = [], None, row[:2]
-                    if row[1]:
+                    if row[1] == WHOLE:
                         last = row
                     else:
                         held.append(row)
-                elif row[1]:  # one window, met again; the same place may come from two anchors
+                elif row[1] == WHOLE:  # one window, met again; the same place may come from two anchors
                     if last is not None and (last[3], last[4]) != (row[3], row[4]):
                         out.append((last[2], last[3], last[4], last[4] + frame.width))
                         last = None
@@ -292,19 +329,19 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
     spans = met.mapInArrow(compare, "rep long, cid long, start long, end long").groupBy("rep", "cid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cid", "tokens", "removed", "spans", "kept_sha256"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        names = ["rep", "cid", "tokens", "removed", "spans", "kept_sha256"]
+        kinds = (pa.int64(),) * 5 + (pa.string(),)
         for batch in batches:
             rows = []
-            for text, cid, listed in zip(batch.column("text"), batch.column("cid").to_pylist(), batch.column("spans"), strict=True):
+            for text, rep, cid, listed in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("cid").to_pylist(), batch.column("spans"), strict=True):
                 tokens = frame.split(text.as_py())
                 runs = merged([(s["start"], s["end"]) for s in listed.as_py()])
                 kept = kept_runs(runs, len(tokens))
-                rows.append((cid, len(tokens), sum(e - s for s, e in runs), len(runs), hashlib.sha256(frame.join(tokens, kept)).hexdigest()))
+                rows.append((rep, cid, len(tokens), sum(e - s for s, e in runs), len(runs), hashlib.sha256(frame.join(tokens, kept)).hexdigest()))
             if rows:
                 yield _pass_columns([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    results = fetch(spans).select("text", "cid", "spans").mapInArrow(remove, "cid long, tokens long, removed long, spans long, kept_sha256 string")
+    results = fetch(spans).select("text", "rep", "cid", "spans").mapInArrow(remove, "rep long, cid long, tokens long, removed long, spans long, kept_sha256 string")
     return classes, results
 
 
@@ -335,13 +372,14 @@ def digest(docs: DataFrame, frame: Frame) -> DataFrame:
         for batch in batches:
             tokens = [frame.split(t.as_py() or "") for t in batch.column("text")]
             shas = [hashlib.sha256(frame.join(t, [(0, len(t))] if len(t) else [])).hexdigest() for t in tokens]
-            yield _pass_columns([batch.column("doc_id"), batch.column("cid"), pa.array([len(t) for t in tokens], pa.int64()), pa.array(shas)], ["doc_id", "cid", "n", "sha"])
+            yield _pass_columns([batch.column("doc_id"), batch.column("address"), pa.array([len(t) for t in tokens], pa.int64()), pa.array(shas, pa.string())], ["doc_id", "address", "n", "sha"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cid"), "text").mapInArrow(count, "doc_id long, cid long, n long, sha string")
-    known = classes.select("cid", "copies").join(results, "cid", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), address(F.col("text")).alias("address"), "text").mapInArrow(count, "doc_id long, address binary, n long, sha string")
+    # written out: the last join then deals both its sides itself and can split a text with very many copies
+    known = cut(classes.join(results, ["rep", "cid"], "left").drop("rep", "cid"))
     whole = (F.col("copies") > 1) & (F.col("n") >= frame.width)
     pick = lambda all_gone, part, none: F.when(whole, all_gone).otherwise(F.coalesce(part, none))
-    return rows.join(known, "cid", "left").select(
+    return rows.join(known, "address", "left").select(
         "doc_id",
         F.col("n").alias("tokens"),
         pick(F.col("n"), F.col("removed"), F.lit(0).cast("long")).alias("removed"),
