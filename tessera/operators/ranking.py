@@ -165,10 +165,25 @@ def fuse(*ranked: DataFrame, key: str = "pos", k: int = 60) -> DataFrame:
 
 
 def with_rank(rows: DataFrame, score: str, key: str = "pos", limit: int | None = None) -> DataFrame:
-    """``rows`` and ``rank`` by descending score, ties by key.  The rank needs one order of all rows: cut to ``limit`` first where rows are many."""
+    """``rows`` and ``rank`` from 1 by descending score, ties by key.
+
+    With ``limit`` only the best rows stay, few enough for one window.  Without it
+    all rows are ranked where they are sorted: by their place in their range
+    partition and the sizes of the partitions before it.
+    """
     if limit is not None:
-        rows = rows.orderBy(F.desc(score), F.asc(key)).limit(limit)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc(key))))
+        return rows.orderBy(F.desc(score), F.asc(key)).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc(key))))
+    from .graph import cut
+
+    # written, since the ids hold for one division into partitions only; partition number in the upper bits
+    placed = cut(rows.orderBy(F.desc(score), F.asc(key)).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))  # one row for each partition
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return ranked.withColumn("rank", (F.col("__before") + inside + 1).cast("int")).drop("__at", "__part", "__before")
 
 
 def min_max(score: str, *partition: str) -> Column:

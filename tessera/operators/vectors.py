@@ -67,7 +67,7 @@ def hybrid(index: DataFrame, vectors: DataFrame, query: str, vector: list[float]
     found = index.join(F.broadcast(near), key)  # 3k rows
     docs = found.select(F.col(key), "title", F.col("text").alias("snippet"), F.col("text").alias("content"), "url")
     lexical = docs.join(bm25f.scores(docs, query, key), key, "left").select(key, F.coalesce("bm25f", F.lit(0.0)).alias("bm25f"))
-    fused = ranking.fuse(ranking.with_rank(lexical, "bm25f", key), ranking.with_rank(found.select(key, "similarity"), "similarity", key), key=key)
+    fused = ranking.fuse(ranking.with_rank(lexical, "bm25f", key, 3 * k), ranking.with_rank(found.select(key, "similarity"), "similarity", key, 3 * k), key=key)
     from .dedup import first_wins
 
     top = fused.orderBy(F.desc("rrf"), F.asc(key)).limit(k)

@@ -34,8 +34,8 @@ def resolve_wrappers(rows: DataFrame, url: str = "url") -> DataFrame:
     return dedup.first_wins(named.where(F.col(url).isNotNull()), F.col(url), "was_resolved", "pos")
 
 
-def snippets(ranked: DataFrame) -> DataFrame:
-    return ranking.with_rank(ranked, "initial_rank_score").select("rank", "title", F.col("snippet").alias("summary"), "url", "source", F.round("initial_rank_score", 4).alias("score"))
+def snippets(ranked: DataFrame, k: int) -> DataFrame:
+    return ranking.with_rank(ranked, "initial_rank_score", limit=k).select("rank", "title", F.col("snippet").alias("summary"), "url", "source", F.round("initial_rank_score", 4).alias("score"))
 
 
 def search(streams: list[DataFrame], query: str, now: Column, k: int = 10, extract: Step | None = None, with_content: bool = False) -> DataFrame:
@@ -43,26 +43,23 @@ def search(streams: list[DataFrame], query: str, now: Column, k: int = 10, extra
     found = discover(*streams)
     ranked = ranking.rank_initial(found if not with_content else resolve_wrappers(found), query, now, k)
     if not with_content:
-        return snippets(ranked)
+        return snippets(ranked, k)
     extracted = (extract or (lambda rows: rows))(ranked)
     structured = documents.structured(extracted, "pos", "content", "url")
     joined = ranked.select("pos", "title", "url", "source", "initial_rank_score").join(structured, "pos")
     return joined.orderBy(F.desc("content_quality_score"), "pos")
 
 
-def semantic_rerank(rows: DataFrame, query: str, vector_rank: DataFrame | None = None, cross_encoder: Column | None = None, top: int = 20, collapse: bool = True, limit: int = 1000) -> DataFrame:
-    """BM25F ranks, with vector ranks (pos, rank) if given, fused; a model score reorders the first ``top``; near-duplicates collapse.
-
-    At most ``limit`` rows are ranked as a list: results of one query, not a corpus.
-    """
+def semantic_rerank(rows: DataFrame, query: str, vector_rank: DataFrame | None = None, cross_encoder: Column | None = None, top: int = 20, collapse: bool = True) -> DataFrame:
+    """BM25F ranks, with vector ranks (pos, rank) if given, fused; a model score reorders the first ``top``; near-duplicates collapse."""
     scored = rows.select("pos").join(bm25f.scores(rows, query), "pos", "left").select("pos", F.coalesce("bm25f", F.lit(0.0)).alias("bm25f"))
-    lexical = ranking.with_rank(scored, "bm25f", limit=limit)
+    lexical = ranking.with_rank(scored, "bm25f")
     fused = ranking.fuse(*([lexical] if vector_rank is None else [lexical, vector_rank]))
-    ordered = rows.join(ranking.with_rank(fused, "rrf", limit=limit).select("pos", F.col("rank").alias("semantic_rank"), F.round("rrf", 6).alias("semantic_score")), "pos")
+    ordered = rows.join(ranking.with_rank(fused, "rrf").select("pos", F.col("rank").alias("semantic_rank"), F.round("rrf", 6).alias("semantic_score")), "pos")
     if cross_encoder is not None:
         first = ordered.where(F.col("semantic_rank") <= top).withColumn("__model", cross_encoder)
         rest = ordered.where(F.col("semantic_rank") > top).withColumn("reranked", F.lit(False))
-        first = ranking.with_rank(first, "__model").drop("semantic_rank", "__model").withColumnRenamed("rank", "semantic_rank").withColumn("reranked", F.lit(True))
+        first = ranking.with_rank(first, "__model", limit=top).drop("semantic_rank", "__model").withColumnRenamed("rank", "semantic_rank").withColumn("reranked", F.lit(True))
         ordered = first.unionByName(rest)
     if not collapse:
         return ordered

@@ -9,15 +9,12 @@ from . import pipelines
 from .common import CAND, QUERY, candidates, now, query, table
 from .q_rank import RECENCY, bm25f_sql, quality_sql
 
-_MERGED = f"""{CAND.replace('cand AS (', 'cand0 AS (')}, cand AS (SELECT * FROM cand0 WHERE pos % 4 <> 3)"""
-
-
-@query("web_search_snippets", f"""WITH {_MERGED}, {bm25f_sql(QUERY, ('title', 'snippet', 'url'))},
+@query("web_search_snippets", f"""WITH {CAND}, {bm25f_sql(QUERY, ('title', 'snippet', 'url'))},
 ini AS (SELECT cand.*, coalesce(bm25f, 0) * (0.8 + 0.2 * {quality_sql('source')}) * (1 + 0.2 * {RECENCY}) AS s FROM cand LEFT JOIN scored ON key = pos)
 SELECT CAST(row_number() OVER (ORDER BY s DESC, pos) AS INTEGER) AS rank, title, snippet AS summary, url, source, round(CAST(s AS DOUBLE), 4) AS score FROM ini ORDER BY rank LIMIT 10""")
 def web_search_snippets(spark, d):
     rows = candidates(spark, d)
-    return pipelines.search([rows.where("pos % 4 = 0"), rows.where("pos % 4 in (0, 1)"), rows.where("pos % 4 in (1, 2)")], QUERY, now())
+    return pipelines.search([rows, rows.withColumn("source", F.lit("duckduckgo"))], QUERY, now())
 
 
 @query("web_search_content")
@@ -34,7 +31,7 @@ def semantic_rerank(spark, d):
 @query("merged_and_ranked")
 def merged_and_ranked(spark, d):
     rows = candidates(spark, d)
-    own = rows.where("pos < 20").select("pos", F.lit("openalex").alias("source"), F.concat(F.lit("https://openalex.org/"), F.col("pos").cast("string")).alias("url"), "title", "snippet", F.lit("academic").alias("content_type"), F.col("publish_date").alias("timestamp"), F.lit(0.7).alias("authority_score"))
+    own = rows.select("pos", F.lit("openalex").alias("source"), F.concat(F.lit("https://openalex.org/"), F.col("pos").cast("string")).alias("url"), "title", "snippet", F.lit("academic").alias("content_type"), F.col("publish_date").alias("timestamp"), F.lit(0.7).alias("authority_score"))
     return pipelines.merge_and_rank(QUERY, rows, own, now()).select("pos", "url", F.round("composite_score", 6).alias("composite_score"))
 
 

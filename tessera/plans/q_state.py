@@ -132,12 +132,12 @@ def retained_outcomes(spark, d):
 
 
 # ----------------------------------------------------------------- graph, diff
-_EDGES = "edges AS (SELECT DISTINCT p_partkey AS source, (p_partkey * 7 + k * 13) % 211 AS target FROM part CROSS JOIN (VALUES (1), (2), (3)) t(k) WHERE p_partkey < 211)"
+_EDGES = "edges AS (SELECT DISTINCT p_partkey AS source, (p_partkey * 7 + k * 13) % 1999 AS target FROM part CROSS JOIN (VALUES (1), (2), (3)) t(k))"
 
 
 def _edges(spark, d):
-    parts = table(spark, d, "part").where("p_partkey < 211").select(F.col("p_partkey").alias("source"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("ord"))
-    return parts.select("source", ((F.col("source") * 7 + F.col("ord") * 13) % 211).alias("target"), "ord")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("source"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("ord"))
+    return parts.select("source", ((F.col("source") * 7 + F.col("ord") * 13) % 1999).alias("target"), "ord")
 
 
 @query("bfs_depth3", f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT CAST(target AS BIGINT), depth + 1 FROM r JOIN edges ON source = node WHERE depth < 3)
@@ -151,11 +151,10 @@ def bfs_multi_seed(spark, d):
     return graph.bfs(_edges(spark, d), spark.createDataFrame([(1,), (50,)], "node long"), 2, fanout=2)
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT l_orderkey % 500 AS a, l_partkey % 400 + 1000 AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
-r AS (SELECT x AS node, x AS label FROM u UNION SELECT u.y, r.label FROM r JOIN u ON u.x = r.node) SELECT CAST(node AS BIGINT) AS node, CAST(min(label) AS BIGINT) AS component FROM r GROUP BY node""")
+@query("connected_components", """WITH c AS (SELECT o_custkey, min(o_orderkey) AS component FROM orders GROUP BY o_custkey)
+SELECT o_orderkey AS node, component FROM orders JOIN c USING (o_custkey) UNION ALL SELECT o_custkey + 1000000000000, component FROM c""")
 def connected_components(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 7 = 0")
-    return graph.components(rows.select((F.col("l_orderkey") % 500).cast("long").alias("a"), (F.col("l_partkey") % 400 + 1000).cast("long").alias("b")))
+    return graph.components(table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") + 1_000_000_000_000).alias("b")))
 
 
 @query("patch_lines", """WITH p AS (SELECT o_orderkey AS k, o_orderkey % 50 + 1 AS s FROM orders), l(n, type, text, od, nd) AS (VALUES (0, 'hunk_header', '', NULL, NULL), (1, 'context', 'same', 0, 0), (2, 'removed', 'old', 1, NULL), (3, 'added', 'new', NULL, 1), (4, 'added', 'more', NULL, 2), (5, 'context', 'end', 2, 3))
@@ -179,12 +178,12 @@ def plugin_records(spark, d):
     return found.select("pos", "source", "url", "title", F.round("authority_score", 6).alias("authority_score"))
 
 
-@query("merged_engines", """WITH r AS (SELECT 1 AS o, page_id AS pos, url FROM pages UNION ALL SELECT 2, page_id, url || '/' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 3, page_id, 'https://only.example.org/' || page_id FROM pages)
+@query("merged_engines", """WITH r AS (SELECT 1 AS o, page_id AS pos, url FROM pages UNION ALL SELECT 2, page_id, url || '/' FROM pages UNION ALL SELECT 3, page_id, 'https://only.example.org/' || page_id FROM pages)
 SELECT engine_ord, pos FROM (SELECT CAST(o AS INTEGER) AS engine_ord, pos, row_number() OVER (PARTITION BY regexp_replace(trim(url), '/+$', '') ORDER BY o, pos) AS k FROM r) WHERE k = 1""")
 def merged_engines(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").alias("pos"), "url")
     one = p.withColumn("engine_ord", F.lit(1))
-    two = p.where("pos % 2 = 0").select("pos", F.concat("url", F.lit("/")).alias("url"), F.lit(2).alias("engine_ord"))
+    two = p.select("pos", F.concat("url", F.lit("/")).alias("url"), F.lit(2).alias("engine_ord"))
     three = p.select("pos", F.concat(F.lit("https://only.example.org/"), F.col("pos").cast("string")).alias("url"), F.lit(3).alias("engine_ord"))
     return plugins.merge_engines(one.unionByName(two).unionByName(three)).select("engine_ord", "pos")
 

@@ -317,3 +317,10 @@ def test_sinks(spark, tmp_path):
     assert "| t\\|1 |" in sinks.markdown(rows, "Report")
     assert sinks.yaml(rows.select("url")) == '- url: "https://a"\n'
     assert one(spark, sinks.safe_name(F.lit("A b/c: d?"))) == "A_bc_d"
+
+
+def test_ranks_without_a_single_window(spark):
+    rows = spark.range(1000).select(F.col("id").alias("pos"), (F.col("id") * 7 % 50).cast("double").alias("score")).repartition(7)
+    want = {r["pos"]: i + 1 for i, r in enumerate(sorted(rows.collect(), key=lambda r: (-r["score"], r["pos"])))}
+    assert {r["pos"]: r["rank"] for r in ranking.with_rank(rows, "score").collect()} == want
+    assert {r["pos"]: r["rank"] for r in ranking.with_rank(rows, "score", limit=9).collect()} == {k: v for k, v in want.items() if v <= 9}
