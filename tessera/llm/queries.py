@@ -30,4 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_license_scans": licenses.oracle(),
     "op6_line_dedup": lines.oracle(),
+    "op7_secret_scans": secrets.oracle(),
+    "op9_substring_dedup": suffix_tree.oracle(),
+    "op10_quality_rules": quality.oracle(),
 }

@@ -147,3 +147,22 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
         joined(spans).alias("spans"),
         "blob",
     )
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The digest in DuckDB SQL."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps, regexp_extract_all(t, {quoted(r.pattern)}, 0) AS hits, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS parts FROM d"
+        for k, r in enumerate(rules)
+    )
+    listed = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE {where}), '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in rules if r.base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({parts}),
+x AS (SELECT doc_id, k, kind, least, unnest(range(1, len(hits) + 1)) AS i, gaps, hits, parts FROM p WHERE len(hits) > 0),
+l AS (SELECT doc_id, k, kind, i, length(hits[i]) AS size, length(parts[i]) >= least AS good, sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM x),
+f AS (SELECT doc_id, k, kind, CAST(e - size AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM l WHERE good)
+SELECT d.doc_id, {counts}, sha256({listed(f"k < {sum(r.base for r in rules)}")}) AS base_sha256, {listed("k IS NOT NULL")} AS spans, sha256(any_value(t)) AS blob
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""

@@ -68,3 +68,15 @@ def suffix_tree_digest(docs: DataFrame, frame: Frame = FRAME) -> DataFrame:
     """The rows of the ``op9`` contract."""
     rows = digest(docs, frame)
     return rows.selectExpr("doc_id", "tokens AS n_words", "removed AS n_removed", "kept_sha256")
+
+
+def oracle(width: int = WIDTH) -> str:
+    """The digest in DuckDB SQL: every window of every text."""
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + {width - 1}], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {width - 2})) AS i FROM w)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {width})) AS j FROM win WHERE g IN (SELECT g FROM twice)),
+each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM each e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = e.doc_id AND g.j = e.j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
