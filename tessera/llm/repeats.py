@@ -36,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_arrow, cut
@@ -206,10 +206,11 @@ def _pass_columns(arrays: list, names: list[str]) -> pa.RecordBatch:
 
 
 def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
-    """(address, copies, rep, cid) of each distinct text and (rep, cid, tokens, removed, spans, kept_sha256) of those with a repeat.
+    """(address, copies, rep, twin) of each distinct text and (rep, twin, tokens, removed, spans, kept_sha256) of those with a repeat.
 
     ``address`` is 128 bits of the text; inside, the pair of ``rep`` (its smallest
-    doc_id) and ``cid`` (64 bits, which tells rows of a repeated doc_id apart) stands for it.
+    doc_id) and ``twin`` (which numbers the texts of a repeated doc_id, so nearly
+    always 0 and free to ship) stands for it.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -217,54 +218,64 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
     cid = F.xxhash64("text")
     each = texts.select("doc_id", address(F.col("text")).alias("address"), cid.alias("cid"))
     classes = each.groupBy("address").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.min("cid").alias("cid"))
+    classes = classes.withColumn("twin", F.row_number().over(Window.partitionBy("rep").orderBy("cid", "address")) - 1)
+    # the distinct texts; the classes are the small side, so texts are never sorted
+    distinct = texts.join(classes.select("rep", "cid", "twin").hint("shuffle_hash"), (F.col("doc_id") == F.col("rep")) & (cid.bitwiseXOR(F.col("cid")) == 0))
 
-    def fetch(side: DataFrame) -> DataFrame:
-        """Texts joined to (rep, cid, ...); the side is the small one, so texts are never sorted."""
-        joined = texts.join(side.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-        return joined.where(cid == F.col("cid"))
+    def fetch(side: DataFrame, *columns: str) -> DataFrame:
+        """Distinct texts with what ``side`` (rep, twin, ...) has for them.
+
+        The twins meet in a difference and not as a key of the join: the texts
+        stay as they are dealt, by doc_id.
+        """
+        named = side.select(F.col("rep").alias("own"), F.col("twin").alias("own_twin"), *columns).hint("shuffle_hash")
+        return distinct.join(named, (F.col("doc_id") == F.col("own")) & (F.col("twin") - F.col("own_twin") == 0)).select("text", "rep", "twin", *columns)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, reps, cids, places, firsts = [], [], [], [], []
-            for text, rep, cid in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("cid").to_pylist(), strict=True):
+            keys, reps, twins, places, more = [], [], [], [], []
+            for text, rep, twin in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("twin").to_pylist(), strict=True):
                 at, key = anchors(frame.hashes(frame.split(text.as_py())), frame)
-                first = np.zeros(len(key), np.int32)
-                first[np.unique(key, return_index=True)[1]] = 1
-                firsts.append(first)
-                keys.append(key)
-                places.append(at)
-                reps.append(np.full(len(at), rep, np.int64))
-                cids.append(np.full(len(at), cid, np.int64))
+                order = np.argsort(key, kind="stable")
+                at, key = at[order], key[order]
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+                ends = np.r_[starts[1:], len(key)]
+                keys.append(key[starts])
+                places.append(at[starts])
+                # a text gives one row for a key; further places, which periodic texts have, are packed
+                more += [at[s + 1 : e].tobytes() if e - s > 1 else None for s, e in zip(starts.tolist(), ends.tolist(), strict=True)] if len(starts) < len(key) else [None] * len(starts)
+                reps.append(np.full(len(starts), rep, np.int64))
+                twins.append(np.full(len(starts), twin, np.int32))
             if keys:
-                yield _pass_columns([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (reps, cids, places, firsts))], ["key", "rep", "cid", "at", "first"])
+                yield _pass_columns([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (reps, twins, places)), pa.array(more, pa.binary())], ["key", "rep", "twin", "at", "more"])
 
-    marks = fetch(classes.select("rep", "cid")).select("text", "rep", "cid").mapInArrow(find, "key long, rep long, cid long, at long, first int")
-    twice = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("texts")).where(F.col("n") > 1)
+    marks = distinct.select("text", "rep", "twin").mapInArrow(find, "key long, rep long, twin int, at long, more binary")
+    twice = marks.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.count("more").alias("again")).where((F.col("texts") > 1) | (F.col("again") > 0))
     wanted = (
         marks.join(twice, "key")
-        .groupBy("rep", "cid").agg(F.collect_list(F.struct("at", "key", (F.col("texts") > frame.most).alias("hot"))).alias("marks"))
+        .repartition("rep")  # one exchange for the lists and for their join with the texts
+        .groupBy("rep", "twin").agg(F.collect_list(F.struct("at", "key", "more", (F.col("texts") > frame.most).alias("hot"))).alias("marks"))
     )
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slack, size, unit = frame.slack, frame.key, frame.unit
-        names = ["key", "kind", "rep", "cid", "at", "left", "right"]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ["key", "kind", "rep", "twin", "at", "left", "right"]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
-            for text, rep, cid, listed in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("cid").to_pylist(), batch.column("marks"), strict=True):
+            for text, rep, twin, listed in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("twin").to_pylist(), batch.column("marks"), strict=True):
                 tokens = frame.split(text.as_py())
                 h = frame.hashes(tokens)
                 units = frame.contexts(tokens, h)
                 raw, back = units.tobytes(), units[::-1].tobytes()
                 total, rows, sums = len(h), [], None
                 met: dict[tuple[int, bytes, bytes], list[int]] = {}
-                for mark in listed.as_py():
-                    at, key = mark["at"], mark["key"]
-                    if mark["hot"]:
+                for key, at, hot in unpacked(listed.as_py()):
+                    if hot:
                         sums = _sums(h) if sums is None else sums
                         first, last = max(0, at - slack), min(at, total - frame.width)
                         at_all = np.arange(first, last + 1)
                         whole = _mix(_runs(sums, at_all, frame.width) + _U(1)).view(np.int64)
-                        rows += [(k, WHOLE, rep, cid, s, b"", b"") for k, s in zip(whole.tolist(), at_all.tolist(), strict=True)]
+                        rows += [(k, WHOLE, rep, twin, s, b"", b"") for k, s in zip(whole.tolist(), at_all.tolist(), strict=True)]
                     else:
                         low = total - at
                         met.setdefault((key, back[low * unit : (low + slack) * unit], raw[(at + size) * unit : (at + size + slack) * unit]), []).append(at)
@@ -274,14 +285,14 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
                         # met again in this very text, as in a periodic one: covered already, and one of them stands for all
                         settled += [(at - len(left) // unit, at + size + len(right) // unit) for at in places]
                         places = places[:1]
-                    rows += [(key, CONTEXT, rep, cid, at, left, right) for at in places]
-                rows += [(end, COVER, rep, cid, start, b"", b"") for start, end in merged(settled)]
+                    rows += [(key, CONTEXT, rep, twin, at, left, right) for at in places]
+                rows += [(end, COVER, rep, twin, start, b"", b"") for start, end in merged(settled)]
                 for x in range(0, len(rows), 4096):
                     yield _pass_columns([pa.array(c, t) for c, t in zip(zip(*rows[x : x + 4096], strict=True), kinds, strict=True)], names)
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    contexts = fetch(wanted).select("text", "rep", "cid", "marks").mapInArrow(surround, "key long, kind int, rep long, cid long, at long, left binary, right binary")
-    met = contexts.repartition(parts, "key", "kind").sortWithinPartitions("key", "kind", "cid", "at")
+    contexts = fetch(wanted, "marks").mapInArrow(surround, "key long, kind int, rep long, twin int, at long, left binary, right binary")
+    met = contexts.repartition(parts, "key", "kind").sortWithinPartitions("key", "kind", "twin", "at")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
@@ -294,7 +305,8 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
                     out.append((row[2], row[3], row[4] - left, row[4] + frame.key + right))
 
         def flush() -> pa.RecordBatch:
-            batch = _pass_columns([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["rep", "cid", "start", "end"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            batch = _pass_columns([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["rep", "twin", "start", "end"])
             out.clear()
             return batch
 
@@ -326,25 +338,33 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
         if out:
             yield flush()
 
-    spans = met.mapInArrow(compare, "rep long, cid long, start long, end long").groupBy("rep", "cid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = met.mapInArrow(compare, "rep long, twin int, start long, end long").groupBy("rep", "twin").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rep", "cid", "tokens", "removed", "spans", "kept_sha256"]
-        kinds = (pa.int64(),) * 5 + (pa.string(),)
+        names = ["rep", "twin", "tokens", "removed", "spans", "kept_sha256"]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
             rows = []
-            for text, rep, cid, listed in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("cid").to_pylist(), batch.column("spans"), strict=True):
+            for text, rep, twin, listed in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("twin").to_pylist(), batch.column("spans"), strict=True):
                 tokens = frame.split(text.as_py())
                 runs = merged([(s["start"], s["end"]) for s in listed.as_py()])
                 kept = kept_runs(runs, len(tokens))
-                rows.append((rep, cid, len(tokens), sum(e - s for s, e in runs), len(runs), hashlib.sha256(frame.join(tokens, kept)).hexdigest()))
+                rows.append((rep, twin, len(tokens), sum(e - s for s, e in runs), len(runs), hashlib.sha256(frame.join(tokens, kept)).hexdigest()))
             if rows:
                 yield _pass_columns([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    results = fetch(spans).select("text", "rep", "cid", "spans").mapInArrow(remove, "rep long, cid long, tokens long, removed long, spans long, kept_sha256 string")
+    results = fetch(spans, "spans").mapInArrow(remove, "rep long, twin int, tokens long, removed long, spans long, kept_sha256 string")
     return classes, results
 
 
+def unpacked(marks: list[dict]) -> Iterator[tuple[int, int, bool]]:
+    for mark in marks:
+        yield mark["key"], mark["at"], mark["hot"]
+        if mark["more"]:
+            for at in np.frombuffer(mark["more"], np.int64).tolist():
+                yield mark["key"], at, mark["hot"]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     runs: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -376,7 +396,7 @@ def digest(docs: DataFrame, frame: Frame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), address(F.col("text")).alias("address"), "text").mapInArrow(count, "doc_id long, address binary, n long, sha string")
     # written out: the last join then deals both its sides itself and can split a text with very many copies
-    known = cut(classes.join(results, ["rep", "cid"], "left").drop("rep", "cid"))
+    known = cut(classes.join(results, ["rep", "twin"], "left").drop("rep", "twin", "cid"))
     whole = (F.col("copies") > 1) & (F.col("n") >= frame.width)
     pick = lambda all_gone, part, none: F.when(whole, all_gone).otherwise(F.coalesce(part, none))
     return rows.join(known, "address", "left").select(

@@ -24,7 +24,7 @@ from .repeats import Frame, digest
 from .suffix_array import shared_prefix
 
 WIDTH = 35
-SLACK = 17
+SLACK = 19
 
 
 def internal_nodes(suffixes: list[bytes], unit: int) -> Iterator[tuple[int, list[int]]]:
