@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
+from ..functions.text import let, word_count
 
 # Signs of a blocked page, of a challenge in HTML, and of a paywall.
 BLOCKED = (
@@ -42,8 +42,8 @@ def title_similarity(title: Column, content: Column) -> Column:
     """Share of the title's distinct words that are part of the content."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
     low = F.lower(F.coalesce(content, F.lit("")))
-    found = F.size(F.filter(words, lambda w: low.contains(w)))
-    return F.when(low == "", 0.0).otherwise(F.coalesce(F.try_divide(found.cast("double"), F.size(words)), F.lit(0.0)))
+    share = lambda m: F.coalesce(F.try_divide(F.size(F.filter(m["words"], lambda w: m["low"].contains(w))).cast("double"), F.size(m["words"])), F.lit(0.0))
+    return let(F.struct(words.alias("words"), low.alias("low")), lambda m: F.when(m["low"] == "", 0.0).otherwise(share(m)))
 
 
 def paragraph_count(content: Column) -> Column:
@@ -62,19 +62,25 @@ def quality_score(words: Column, paragraphs: Column, has_title: Column, similari
 
 def assess(content: Column, title: Column, html: Column | None = None, density: float = 0.5) -> Column:
     """Struct (words, paragraphs, title_similarity, is_blocked, is_paywall, score, escalate, reason)."""
-    words, paragraphs = word_count(content), paragraph_count(content)
-    similar = title_similarity(title, content)
-    blocked, wall = is_blocked(content, html), is_paywall(content)
-    score = quality_score(words, paragraphs, F.length(F.trim(F.coalesce(title, F.lit("")))) > 0, similar, blocked | wall, F.lit(density))
-    reason = (
-        F.when(blocked, "blocked_page_detected").when(wall, "paywall_detected").when(words < 150, "insufficient_words").when(similar < 0.30, "poor_title_match")
-        .when(paragraphs < 2, "insufficient_paragraphs").when(score < 0.50, "low_quality_score").otherwise("acceptable")
-    )
-    return F.struct(
-        words.alias("words"), paragraphs.alias("paragraphs"), similar.alias("title_similarity"), blocked.alias("is_blocked"), wall.alias("is_paywall"),
-        score.alias("score"), (~reason.isin("paywall_detected", "acceptable")).alias("escalate"), reason.alias("reason"),
+    measured = F.struct(
+        word_count(content).alias("words"), paragraph_count(content).alias("paragraphs"), title_similarity(title, content).alias("title_similarity"),
+        is_blocked(content, html).alias("is_blocked"), is_paywall(content).alias("is_paywall"), (F.length(F.trim(F.coalesce(title, F.lit("")))) > 0).alias("titled"),
     )
 
+    def judged(m: Column) -> Column:
+        reason = (
+            F.when(m["is_blocked"], "blocked_page_detected").when(m["is_paywall"], "paywall_detected").when(m["words"] < 150, "insufficient_words").when(m["title_similarity"] < 0.30, "poor_title_match")
+            .when(m["paragraphs"] < 2, "insufficient_paragraphs").when(m["score"] < 0.50, "low_quality_score").otherwise("acceptable")
+        )
+        kept = [m[c].alias(c) for c in ("words", "paragraphs", "title_similarity", "is_blocked", "is_paywall", "score")]
+        return F.struct(*kept, (~reason.isin("paywall_detected", "acceptable")).alias("escalate"), reason.alias("reason"))
+
+    def scored(m: Column) -> Column:
+        score = quality_score(m["words"], m["paragraphs"], m["titled"], m["title_similarity"], m["is_blocked"] | m["is_paywall"], F.lit(density))
+        return let(F.struct(*[m[c].alias(c) for c in ("words", "paragraphs", "title_similarity", "is_blocked", "is_paywall")], score.alias("score")), judged)
+
+    return let(measured, scored)
+
 
 # Trust in extraction methods.
 METHOD_BONUS = {"trafilatura": 0.95, "justext": 0.85, "boilerpy3": 0.8, "heuristic-readability": 0.75}
