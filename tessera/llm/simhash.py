@@ -135,11 +135,46 @@ def _pivots() -> np.ndarray:
     return np.array([draw.getrandbits(64) for _ in range(PIVOTS)], np.uint64)
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+class _Forest:
+    """Union-find over the places of a bucket, with an array of roots that lags behind by one chunk of pairs."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if np.array_equal(up, self.parent):
+                return up
+            self.parent = up
+
+    def join(self, xs: np.ndarray, ys: np.ndarray, verify=None) -> None:
+        """Join the pairs that ``verify`` accepts; pairs that are joined already are not looked at again."""
+        at, size = 0, 4096
+        roots = self.roots()
+        while at < len(xs):
+            x, y = xs[at : at + size], ys[at : at + size]
+            at += size
+            apart = roots[x] != roots[y]
+            x, y = x[apart], y[apart]
+            if len(x) and verify is not None:
+                ok = verify(x, y)
+                x, y = x[ok], y[ok]
+            if not len(x):
+                size = min(2 * size, 1 << 18)
+                continue
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                p, q = self.find(p), self.find(q)
+                if p != q:
+                    self.parent[max(p, q)] = min(p, q)
+            roots = self.roots()
 
 
 def bucket_links(fps: np.ndarray, reps: np.ndarray, limit: int, agree: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
@@ -154,7 +189,11 @@ def bucket_links(fps: np.ndarray, reps: np.ndarray, limit: int, agree: np.ndarra
     fps, reps, table = fps[order], reps[order], table[order]
     if agree is not None:
         agree = agree[order]
-    first, parent = table[:, 0], list(range(len(fps)))
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        same = SLOTS - np.bitwise_count(agree[x] ^ agree[y]).sum(axis=1, dtype=np.int64)
+        return 2.0 * same / SLOTS - 1.0 >= least
+
+    first, forest = table[:, 0], _Forest(len(fps))
     for a in range(0, len(fps), BLOCK):
         end = min(a + BLOCK, len(fps))
         last = int(np.searchsorted(first, first[end - 1] + limit, side="right"))
@@ -167,26 +206,12 @@ def bucket_links(fps: np.ndarray, reps: np.ndarray, limit: int, agree: np.ndarra
             up = a + i < b + j
             i, j = a + i[up], b + j[up]
             good = np.bitwise_count(fps[i] ^ fps[j]) <= limit
-            i, j = i[good], j[good]
-            if agree is not None and len(i):
-                for at in range(0, len(i), 4096):
-                    x, y = i[at : at + 4096], j[at : at + 4096]
-                    same = SLOTS - np.bitwise_count(agree[x] ^ agree[y]).sum(axis=1, dtype=np.int64)
-                    ok = 2.0 * same / SLOTS - 1.0 >= least
-                    _union(parent, x[ok], y[ok])
-            else:
-                _union(parent, i, j)
-    roots: dict[int, list[int]] = {}
-    for x in range(len(fps)):
-        roots.setdefault(_find(parent, x), []).append(int(reps[x]))
-    return [(min(group), other) for group in roots.values() if len(group) > 1 for other in group if other != min(group)]
-
-
-def _union(parent: list[int], xs: np.ndarray, ys: np.ndarray) -> None:
-    for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-        rx, ry = _find(parent, x), _find(parent, y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
+            forest.join(i[good], j[good], None if agree is None else alike)
+    roots = forest.roots()
+    least_rep = np.full(len(fps), np.iinfo(np.int64).max)
+    np.minimum.at(least_rep, roots, reps)
+    head = least_rep[roots]
+    return [(int(h), int(r)) for h, r in zip(head, reps, strict=True) if h != r]
 
 
 def links(nodes: DataFrame, limit: int = EXACT, tables: list[list[int]] | None = None, least: float = 0.0) -> DataFrame:
@@ -266,7 +291,8 @@ def components(edges: DataFrame) -> DataFrame:
             both = pairs.union(pairs.select(F.col("v"), F.col("u")))
         else:
             both = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # written, so that the join deals both sides itself and can split a hub
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         joined = both.join(least, "u")
         if large:
             moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
