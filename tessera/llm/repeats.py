@@ -292,7 +292,7 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     contexts = fetch(wanted, "marks").mapInArrow(surround, "key long, kind int, rep long, twin int, at long, left binary, right binary")
-    met = contexts.repartition(parts, "key", "kind").sortWithinPartitions("key", "kind", "twin", "at")
+    met = contexts.repartition(parts, "key", "kind").sortWithinPartitions("key", "kind", "rep", "twin", "at")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
@@ -325,7 +325,7 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
                     else:
                         held.append(row)
                 elif row[1] == WHOLE:  # one window, met again; the same place may come from two anchors
-                    if last is not None and (last[3], last[4]) != (row[3], row[4]):
+                    if last is not None and last[2:5] != row[2:5]:
                         out.append((last[2], last[3], last[4], last[4] + frame.width))
                         last = None
                     if last is None:

@@ -201,6 +201,21 @@ def test_suffix_tree_brute(docs, rows, none, most):
     assert suffix_tree.suffix_tree_digest(none).count() == 0
 
 
+@pytest.mark.parametrize("lead", [0, 3])
+def test_streamed_windows_of_several_texts(spark, lead):
+    """More than ``most`` texts share one window at one offset (and, with a lead, another text at an earlier one)."""
+    draw = np.random.default_rng(7)
+    words = lambda n: " ".join(f"{x:08x}" for x in draw.integers(0, 2**32, n))
+    notice = words(60)
+    texts = [(i, f"{words(lead)} {notice} {words(50)}".strip()) for i in range(5)] + [(5, f"{notice} {words(50)}"), (6, words(110))]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    got = suffix_array.suffix_array_digest(table, dataclasses.replace(suffix_array.FRAME, most=2))
+    assert counted(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(texts, 400, str.encode, b"".join)
+    got = suffix_tree.suffix_tree_digest(table, dataclasses.replace(suffix_tree.FRAME, most=2))
+    want = removed(texts, 35, lambda t: t.encode().split(), b" ".join)
+    assert counted(got, "doc_id", "n_words", "n_removed", "kept_sha256") == collections.Counter({(i, n, r, s): c for (i, n, r, _, s), c in want.items()})
+
+
 @pytest.mark.parametrize("index", [suffix_array.intervals, suffix_tree.internal_nodes])
 def test_group_indexes_agree_with_pairs(index):
     draw = np.random.default_rng(5)
