@@ -198,7 +198,8 @@ def address(text: Column) -> Column:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, text) of the texts there are; a hash of the text stands for an id that is null (``twin`` settles a clash)."""
+    return docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc_id"), "text")
 
 
 def _pass_columns(arrays: list, names: list[str]) -> pa.RecordBatch:

@@ -216,6 +216,19 @@ def test_streamed_windows_of_several_texts(spark, lead):
     assert counted(got, "doc_id", "n_words", "n_removed", "kept_sha256") == collections.Counter({(i, n, r, s): c for (i, n, r, _, s), c in want.items()})
 
 
+def test_repeats_without_doc_id(spark):
+    draw = np.random.default_rng(8)
+    words = lambda n: " ".join(f"{x:08x}" for x in draw.integers(0, 2**32, n))
+    notice, own = words(60), words(60)
+    texts = [(None, f"{notice} {words(50)}"), (1, f"{words(9)} {notice}"), (None, f"{own} {words(50)} {own}"), (None, words(110)), (None, words(3))]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    got = suffix_array.suffix_array_digest(table)
+    assert counted(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(texts, 400, str.encode, b"".join)
+    got = suffix_tree.suffix_tree_digest(table)
+    want = removed(texts, 35, lambda t: t.encode().split(), b" ".join)
+    assert counted(got, "doc_id", "n_words", "n_removed", "kept_sha256") == collections.Counter({(i, n, r, s): c for (i, n, r, _, s), c in want.items()})
+
+
 @pytest.mark.parametrize("index", [suffix_array.intervals, suffix_tree.internal_nodes])
 def test_group_indexes_agree_with_pairs(index):
     draw = np.random.default_rng(5)
