@@ -22,6 +22,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ BLOCK = 512
 #: 1-bit minwise slots carried for near-duplicate verification on shingle sets.
 SLOTS = 512
 SEED = 42
+#: Bands of minima that make candidates for shingle sets, and minima of a band.
+BANDS, ROWS = 16, 4
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -329,18 +332,99 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     return simhash_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, limit: int = 14) -> DataFrame:
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set of shingle hashes, each from ``ROWS`` minima under seeded permutations."""
+    draw = np.random.default_rng(SEED)
+    up, add = (draw.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1 << 12):
+        x = shingles[None, at : at + (1 << 12)] * up + add
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        least = np.minimum(least, x.min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def set_links(reps: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest, as (smaller rep, other rep), of the pairs whose sets have a Jaccard similarity of ``similarity`` or more."""
+    sizes, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    for i in range(len(sets)):
+        if (label == label[0]).all():
+            break
+        later = np.arange(i + 1, len(sets))
+        fits = np.minimum(sizes[later], sizes[i]) >= (similarity - 1e-9) * np.maximum(sizes[later], sizes[i])
+        linked = []
+        for j in later[fits & (label[later] != label[i])].tolist():
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared / (sizes[i] + sizes[j] - shared) >= similarity:
+                linked.append(j)
+        if linked:
+            label[np.isin(label, label[linked])] = label[i]
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, np.array(reps, np.int64))
+    return [(int(h), r) for h, r in zip(least[label], reps, strict=True) if h != r]
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) on ``k``-word shingle sets of at least ``similarity``.
 
-    The fingerprints find candidates within ``limit`` bits (pivot tables as
-    above); a pair then counts if the minwise estimate of its Jaccard similarity
-    reaches ``similarity`` less one standard error of the 512-slot estimate.
+    Candidates are sets that agree on one of ``BANDS`` bands of ``ROWS`` minima
+    (a pair at 0.8 does with 99.98 %, one at 0.85 with 99.999 %).  The sets of those,
+    and only those, meet band by band and are compared exactly.
     """
-    marked = cut(fingerprints(docs, k, sketch=True))
-    classes = marked.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"))
-    found = components(links(classes, limit, sampled(32, 14), similarity - 0.025))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, ["fp", "sketch"]).select("doc_id", "component_id")
+    spark = docs.sparkSession
+    bound_arrow(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column("text")]
+            addresses = pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary())
+            keys = pa.array([band_keys(x).tolist() if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), addresses, keys], names=["doc_id", "address", "keys"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, rep, address, keys in zip(*(batch.column(c) for c in ("text", "rep", "address", "keys")), strict=True):
+                shingles = np.unique(shingle_hashes(text.as_py(), k)).tobytes()
+                if hashlib.md5(shingles).digest() == address.as_py():  # not another text of the same id
+                    n = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.as_py(), pa.int64()), pa.array([rep.as_py()] * n, pa.int64()), pa.array([shingles] * n, pa.binary())], names=["key", "rep", "shingles"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], None] = {}
+        now = None
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (found := set_links([r for r, _ in held], [np.frombuffer(x, np.uint64) for _, x in held], similarity)):
+                uv = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
+
+        for batch in batches:
+            for key, rep, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    yield from solve()
+                    held.clear()
+                    now = key
+                held[rep, shingles] = None
+        yield from solve()
+
+    marked = cut(texts.mapInArrow(mark, "doc_id long, address binary, keys array<long>"))
+    classes = marked.groupBy("address").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    bands = classes.where(F.col("rep").isNotNull()).select("rep", "address", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    wanted = bands.join(shared, "key").groupBy("rep", "address").agg(F.collect_list("key").alias("keys"))
+    named = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", "rep", "address", "keys")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = named.mapInArrow(fetch, "key long, rep long, shingles binary").repartition(parts, "key").sortWithinPartitions("key", "rep")
+    found = components(dealt.mapInArrow(meet, "u long, v long").distinct())
+    ends = classes.select("address", "rep").join(found, F.col("rep") == F.col("node"), "left").select("address", F.coalesce("component", "rep").alias("component_id"))
+    return marked.select("doc_id", "address").join(ends, "address").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -164,6 +164,26 @@ def test_near_duplicates(spark, rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
 
 
+@pytest.mark.parametrize(("changed", "alike"), [(4, True), (5, False)])
+def test_near_duplicates_at_the_threshold(spark, changed, alike):
+    """Pairs of 196 shingles of which 20 (0.815) or 25 (0.774) differ."""
+    texts = []
+    for n in range(60):
+        words = [f"w{n}x{i}" for i in range(200)]
+        other = [f"o{w}" if i % 40 == 10 and i // 40 < changed else w for i, w in enumerate(words)]
+        texts += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    words = [f"e{i}" for i in range(13)]
+    texts += [(1000, " ".join(words[:12])), (1001, " ".join(words[1:]))] if not alike else []  # 7 of 9 shingles: 0.778
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert kept == [i for i, _ in texts if not alike or i % 2 == 0]
+
+
+def test_set_links_at_exactly_the_threshold():
+    a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
+    assert simhash.set_links([3, 7], [a, b], 0.8) == [(3, 7)]
+    assert simhash.set_links([3, 7], [a[:8], b[:8]], 0.8) == []
+
+
 # ------------------------------------------------------------------- repeats
 def removed(rows, width, split, join):
     seen, texts = collections.Counter(), [split(t or "") for _, t in rows]
