@@ -1,16 +1,17 @@
 """Language identification with language-bitmask n-gram filters.
 
 Training counts letter trigrams (lower case, a word's edges count) for each
-language over all training documents.  Counts are hashed into ``CELLS`` cells and
-added up inside each task, so one sparse row for each task, language and part of
-the cells is shuffled, whatever the corpus holds.  A trigram belongs to the
-languages where its rate is at least ``SHARE`` of its highest rate.
+language over all training documents, exactly: a task adds up what it reads and
+the sums are grouped by language and trigram.  A language contains the trigrams
+that make up at least ``RATE`` of its own, so at most 1 / ``RATE`` of them,
+whatever the corpus holds, and that were met ``LEAST_COUNT`` times, so that a
+slip of the pen is no evidence.
 
 The model is one bit-sliced Bloom filter: an array of 64-bit masks with one bit
-for each language.  The AND of the ``HASHES`` masks of a trigram is the set of all
-languages that contain it, from one lookup.  A document's language is decided by
-the popcount of each bit over its trigrams, corrected for that bit's false
-positive rate: (hits - n f) / (1 - f).
+for each language, filled by OR in the cluster.  The AND of the ``HASHES`` masks
+of a trigram is the set of all languages that contain it, from one lookup.  A
+document's language is decided by the popcount of each bit over its trigrams,
+corrected for that bit's false positive rate: (hits - n f) / (1 - f).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
 text of letters that no language knows gets the language with the most training
@@ -27,21 +28,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow
+from .common import bound_arrow, cut
 
-CELLS = 1 << 18
-#: Parts of the cells, so that their sums are made by several tasks.
-PARTS = 16
+#: Least share of a language's trigrams, and least count, of one that it contains.
+RATE = 1e-5
 LEAST_COUNT = 3
-SHARE = 0.5
-SLOTS = 1 << 20
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 HASHES = 3
 LANGUAGES = 64
 #: Characters handled at once.
 CHUNK = 1_000_000
+#: Distinct trigrams of a language that a task holds before it hands its sums on.
+HELD = 1 << 20
+#: Stands for the documents of a language among its trigrams, which are not negative.
+DOCUMENTS = -1
 
 _letters: np.ndarray | None = None
 
@@ -60,7 +65,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def trigrams(text: str) -> Iterator[np.ndarray]:
-    """Cells of the trigrams around each letter of ``text``, a chunk at a time."""
+    """The trigrams around each letter of ``text``, as 63-bit numbers, a chunk at a time."""
     low = text.lower()
     letters = _letter_table()
     for at in range(0, len(low), CHUNK):
@@ -68,8 +73,7 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
         codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(letters[codes], codes, np.uint32(0)).astype(np.uint64)
         middle = np.flatnonzero(codes[1:-1]) + 1
-        grams = (codes[middle - 1] << np.uint64(42)) | (codes[middle] << np.uint64(21)) | codes[middle + 1]
-        yield (_mixed(grams) >> np.uint64(64 - 18)).astype(np.int64)
+        yield (codes[middle - 1] << np.uint64(42)) | (codes[middle] << np.uint64(21)) | codes[middle + 1]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -83,19 +87,19 @@ class Model:
     false_rate: np.ndarray  # of each language
     fallback: int
 
-    def sets(self, cells: np.ndarray) -> np.ndarray:
+    def sets(self, grams: np.ndarray) -> np.ndarray:
         """For each trigram the mask of all languages that contain it."""
         out = None
-        for slot in _slots(cells):
+        for slot in slots(grams):
             got = self.masks[slot]
             out = got if out is None else out & got
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         hits, n = np.zeros(len(self.languages)), 0
-        for cells in trigrams(text or ""):
-            sets = self.sets(cells)
-            n += len(cells)
+        for grams in trigrams(text or ""):
+            sets = self.sets(grams)
+            n += len(grams)
             hits += [np.count_nonzero(sets & np.uint64(1 << b)) for b in range(len(self.languages))]
         if not n or not self.languages:
             return "und", 0.0
@@ -106,73 +110,80 @@ class Model:
         return self.languages[best], float(true[best] / true.sum())
 
 
-def _slots(cells: np.ndarray) -> list[np.ndarray]:
+def slots(grams: np.ndarray) -> list[np.ndarray]:
     """Two hashes make all: first + i * second."""
-    h = _mixed(cells.astype(np.uint64) + np.uint64(0x51ED27))
-    first, second = h >> np.uint64(40), (h & np.uint64(0xFFFFF)) | np.uint64(1)
-    return [((first + np.uint64(i) * second) % np.uint64(SLOTS)).astype(np.int64) for i in range(HASHES)]
+    h = _mixed(grams + np.uint64(0x51ED27))
+    first, second = h >> np.uint64(64 - SLOT_BITS), (h & np.uint64(SLOTS - 1)) | np.uint64(1)
+    return [((first + np.uint64(i) * second) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def count_cells(training: DataFrame) -> DataFrame:
-    """(lang, part, cells): trigram counts of (text, lang), added up; ``cells`` are CELLS / PARTS packed longs."""
+def count_trigrams(training: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often each trigram occurs in (text, lang); gram ``DOCUMENTS`` counts the rows."""
     bound_arrow(training.sparkSession)
-    width = CELLS // PARTS
+
+    def rows(lang: str, parts: list[tuple[np.ndarray, np.ndarray]], docs: int) -> pa.RecordBatch:
+        grams, n = summed(parts)
+        grams, n = np.r_[grams.astype(np.int64), DOCUMENTS], np.r_[n, docs]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        every, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        return every, np.bincount(which, np.concatenate([n for _, n in parts]), len(every)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-                total = sums.setdefault(lang, np.zeros(CELLS, np.int64))
-                docs[lang] = docs.get(lang, 0) + 1
-                for cells in trigrams(text.as_py()):
-                    if len(cells) > CELLS // 16:
-                        total += np.bincount(cells, minlength=CELLS)
-                    else:
-                        np.add.at(total, cells, 1)
-        rows = [(lang, p, docs[lang] if p == 0 else 0, zlib.compress(total[p * width : (p + 1) * width].tobytes(), 1)) for lang, total in sums.items() for p in range(PARTS)]
-        if rows:
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "part", "docs", "cells"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for packed in table.column("cells"):
-            total += np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
-        docs = sum(table.column("docs").to_pylist())
-        return pa.table({"lang": table.column("lang")[:1], "part": table.column("part")[:1], "docs": [docs], "cells": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "lang string, part int, docs long, cells binary"
-    return training.select("text", "lang").mapInArrow(count, schema).groupBy("lang", "part").applyInArrow(add, schema)
+            for lang in set(batch.column("lang").to_pylist()):
+                texts = batch.filter(pc.equal(batch.column("lang"), lang)).column("text")
+                docs[lang] = docs.get(lang, 0) + len(texts)
+                held = sums.setdefault(lang, [])
+                fresh: list[np.ndarray] = []
+                for text in texts:
+                    fresh += trigrams(text.as_py())
+                    if sum(map(len, fresh)) > CHUNK:
+                        held[:] = [summed([*held, np.unique(np.concatenate(fresh), return_counts=True)])]
+                        fresh = []
+                if fresh:
+                    held[:] = [summed([*held, np.unique(np.concatenate(fresh), return_counts=True)])]
+                if held and len(held[0][0]) > HELD:
+                    yield rows(lang, sums.pop(lang), docs.pop(lang))
+        for lang, held in sums.items():
+            yield rows(lang, held or [(np.empty(0, np.uint64), np.empty(0, np.int64))], docs[lang])
+
+    return training.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(training: DataFrame) -> Model:
     """The filter of (text, lang) rows; rows with a null in either are left out.
 
-    What reaches the driver is bounded: languages (at most 64) times CELLS.
+    What reaches the driver is bounded: a row for each language and at most
+    ``SLOTS`` slots.
     """
-    rows = count_cells(training.where(F.col("text").isNotNull() & F.col("lang").isNotNull()))
-    width = CELLS // PARTS
-    counts: dict[str, np.ndarray] = {}
-    docs: dict[str, int] = {}
-    for r in rows.toLocalIterator():
-        if r["lang"] not in counts and len(counts) == LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
-        counts.setdefault(r["lang"], np.zeros(CELLS, np.int64))[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["cells"]), np.int64)
-        docs[r["lang"]] = docs.get(r["lang"], 0) + r["docs"]
-    languages = tuple(sorted(counts))
+    counts = cut(count_trigrams(training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())))
+    real = F.when(F.col("gram") != DOCUMENTS, F.col("n"))
+    totals = counts.groupBy("lang").agg(F.sum(real).alias("total"), F.max(real).alias("most"), F.max(F.when(F.col("gram") == DOCUMENTS, F.col("n"))).alias("docs"))
+    known = totals.orderBy("lang").limit(LANGUAGES + 1).collect()
+    if len(known) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     masks = np.zeros(SLOTS, np.uint64)
-    if not languages:
+    if not known:
         return Model((), masks, np.zeros(0), 0)
-    table = np.stack([counts[x] for x in languages])
-    rate = table / np.maximum(table.sum(axis=1, keepdims=True), 1)
-    member = (table >= np.minimum(LEAST_COUNT, table.max(axis=1, keepdims=True))) & (rate >= SHARE * rate.max(axis=0)) & (table > 0)
-    for b in range(len(languages)):
-        cells = np.flatnonzero(member[b])
-        for slot in _slots(cells):
-            masks[slot] |= np.uint64(1 << b)  # equal slots set the same bit
+    languages = tuple(r["lang"] for r in known)
+    # one row a language: bounded by LANGUAGES
+    bits = counts.sparkSession.createDataFrame([(r["lang"], int(np.uint64(1 << b).astype(np.int64)), float(max(min(LEAST_COUNT, r["most"] or 0), RATE * (r["total"] or 0)))) for b, r in enumerate(known)], "lang string, bit long, least double")
+    members = counts.where(F.col("gram") != DOCUMENTS).join(F.broadcast(bits), "lang").where(F.col("n") >= F.col("least"))
+    sets = members.groupBy("gram").agg(F.bit_or("bit").alias("mask"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slot in slots(batch.column("gram").to_numpy().view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column("mask")], names=["slot", "mask"])
+
+    filled = sets.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
     fill = np.array([np.count_nonzero(masks & np.uint64(1 << b)) / SLOTS for b in range(len(languages))])
-    return Model(languages, masks, fill**HASHES, max(range(len(languages)), key=lambda b: (docs[languages[b]], -b)))
+    return Model(languages, masks, fill**HASHES, max(range(len(languages)), key=lambda b: (known[b]["docs"], -b)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

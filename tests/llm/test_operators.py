@@ -351,13 +351,42 @@ def test_language_held_out(docs, none):
     assert language.language_digest(none).count() == 0
 
 
-def test_language_filter_has_no_false_negative(docs):
-    model = language.train(docs.select("text", "lang"))
-    counts = {r["lang"]: None for r in docs.select("lang").distinct().collect() if r["lang"]}
-    assert set(model.languages) == set(counts)
-    cells = np.arange(1000)
-    assert model.sets(cells).shape == (1000,)
-    assert (model.false_rate < 0.01).all()
+def test_language_filter_brute(spark, docs):
+    """The counts, the filter's sets and the prediction against dictionaries of strings."""
+    training = docs.where("text is not null and lang is not null").select("text", "lang")
+    model = language.train(training)
+    counts = collections.defaultdict(collections.Counter)
+    for r in training.collect():
+        low = f" {r['text'].lower()} "
+        clean = "".join(c if c.isalpha() else "\0" for c in low)
+        counts[r["lang"]].update(clean[k - 1 : k + 2] for k in range(1, len(clean) - 1) if clean[k] != "\0")
+    assert model.languages == tuple(sorted(counts))
+    contains = {x: {g for g, n in c.items() if n >= max(min(language.LEAST_COUNT, max(c.values())), language.RATE * sum(c.values()))} for x, c in counts.items()}
+    every = sorted(set().union(*counts.values()))
+    codes = np.array([(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in every], np.uint64)
+    sets = model.sets(codes)
+    false = 0
+    for b, x in enumerate(model.languages):
+        has = (sets >> np.uint64(b)) & np.uint64(1)
+        for g, bit in zip(every, has.tolist(), strict=True):
+            assert bit or g not in contains[x]  # never a false negative
+            false += bit and g not in contains[x]
+    assert false <= 3 + 3 * len(every) * model.false_rate.sum() and (model.false_rate < 0.01).all()
+    text = "the end of it, and on"
+    grams = ["\0th", "the", "he\0"]
+    hits = [sum(g in contains[x] for g in grams) for x in model.languages]
+    assert model.predict("the")[0] == model.languages[int(np.argmax(hits))] and 0 < model.predict(text)[1] <= 1
+
+
+def test_language_sixty_four_and_clashing_columns(spark):
+    rows = [(i, f"{chr(0x4E00 + 3 * i)}{chr(0x4E01 + 3 * i)}{chr(0x4E02 + 3 * i)} " * 5, f"l{i:02}") for i in range(65)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    model = language.train(table.where("doc_id < 64"))
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(table.where("doc_id < 64"), model).collect()} == {i: x for i, _, x in rows[:64]}
+    with pytest.raises(ValueError, match="64"):
+        language.train(table)
+    tied = language.train(spark.createDataFrame([("same words", "b"), ("same words", "a")], "text string, lang string"))
+    assert tied.predict("same words")[0] == "a" and tied.predict("\u4e00")[1] == 0.0
 
 
 def test_language_chunks_change_nothing(monkeypatch):
@@ -390,16 +419,30 @@ def test_secrets_brute(docs, rows, none):
     assert secrets.secrets_digest(none).count() == 0
 
 
-def test_secret_ledger_scans_only_what_is_new(spark, docs):
-    first = secrets.update_ledger(docs.where("doc_id < 100"), None).cache()
-    second = secrets.update_ledger(docs, first).cache()
+def test_secrets_of_repeated_rows_and_null_ids(spark):
+    text = "token=abcdef0 then password: hunter222"
+    table = spark.createDataFrame([(1, text), (1, text), (1, "secret=zzzzzz9"), (None, "passwd=qqqqqq1"), (None, "passwd=qqqqqq1"), (2, None)], "doc_id long, text string")
+    got = counted(secrets.secrets_digest(table), "doc_id", "spans")
+    assert got == collections.Counter({(1, "assign:0:13,assign:19:38"): 2, (1, "assign:0:14"): 1, (None, "assign:0:14"): 2, (2, ""): 1})
+
+
+def test_secret_ledger_scans_only_what_is_new(spark, docs, monkeypatch):
+    scanned, plain = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs, versions: (scanned.append(blobs.select("blob", F.explode("missing")).distinct().count()), plain(blobs, versions))[1])
+    base = {1: secrets.BASE_RULES}
+    first = secrets.update_ledger(docs.where("doc_id < 100"), secrets.empty_ledger(spark), base).cache()
+    second = secrets.update_ledger(docs, first, base).cache()
     assert first.join(second, "blob").count() == 0
     both = first.unionByName(second)
-    assert both.count() == docs.select(F.sha2(F.coalesce("text", F.lit("")), 256)).distinct().count()
-    assert secrets.update_ledger(docs, both).count() == 0
-    again = secrets.update_ledger(docs, both, version=2)
-    assert again.count() == both.count()
-    assert secrets.findings(docs, both).count() == docs.count()
+    blobs = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256)).distinct().count()
+    assert both.count() == blobs
+    assert secrets.update_ledger(docs, both, base).count() == 0
+    third = secrets.update_ledger(docs, both).cache()  # version 2 brings its own rules only
+    assert {r["rules_version"] for r in third.collect()} == {2} and third.count() == blobs
+    assert scanned == [first.count(), second.count(), 0, blobs]
+    whole = both.unionByName(third)
+    at_once = secrets.update_ledger(docs, secrets.empty_ledger(spark))
+    assert counted(secrets.findings(docs, whole).selectExpr("doc_id", "to_json(spans) AS s"), "doc_id", "s") == counted(secrets.findings(docs, at_once).selectExpr("doc_id", "to_json(spans) AS s"), "doc_id", "s")
 
 
 # ------------------------------------------------------------------ licenses
