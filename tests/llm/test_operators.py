@@ -339,6 +339,55 @@ def test_decontamination_brute(spark, docs, rows, data, none):
     assert decontam.leaks(none, benchmark).count() == 0 and decontam.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def edited(draw, words, edits):
+    """``words`` after ``edits`` insertions, deletions and changes, at places all over."""
+    out = list(words)
+    for k in range(edits):
+        kind, at = draw.integers(3), int(draw.integers(len(out)))
+        new = f"new{k}x{draw.integers(1 << 30)}"
+        if kind == 0:
+            out[at] = new
+        elif kind == 1:
+            out.insert(at, new)
+        else:
+            del out[at]
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 10, 18, 40, 60, 150])
+def test_decontamination_recall_at_the_edit_limit(spark, n):
+    draw = np.random.default_rng(n)
+    items = [(i, [f"w{x}" for x in draw.integers(0, 3000, n)]) for i in range(80)]
+    lead = lambda k: [f"l{x}" for x in draw.integers(0, 1 << 30, k)]
+    texts = [(i, " ".join([*lead(30), *edited(draw, words, decontam.edits_allowed(n)), *lead(30)])) for i, words in items]
+    benchmark = spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()}
+    assert sum((i, i) in found for i, _ in items) >= 0.95 * len(items)
+
+
+def test_decontamination_windows_lose_nothing():
+    """Every run within the edit limit stands at a window that the q-gram count lets through."""
+    draw = np.random.default_rng(3)
+    hashes = decontam._Hashes()
+    for n in (4, 5, 10, 15, 22, 23, 47):
+        size = decontam.SizeClass(decontam.size_class(n), n, n, decontam.SIMILARITY)
+        for _ in range(30):
+            words = [f"w{x}" for x in draw.integers(0, 500, n)]
+            other = edited(draw, words, decontam.edits_allowed(n))
+            ids, around = hashes.of(" ".join(words)), hashes.of(" ".join(["lead"] * 7 + other + ["tail"] * 9))
+            seen = np.isin(decontam.gram_hashes(around, size.q), decontam.gram_hashes(ids, size.q))
+            assert seen[7 : 7 + size.high + size.edits - size.q + 1].sum() >= size.need
+
+
+def test_decontamination_runs():
+    ids = lambda text: decontam._Hashes().of(text)
+    assert decontam.best_run(ids("a b c d e"), ids("x a b c d e a b c d e"), 1) == (0, 1, 6)
+    assert decontam.best_run(ids("a b c d e"), ids("x a b d e y"), 1) == (1, 1, 5)
+    assert decontam.best_run(ids("a b c d e"), ids("x a b q d e y"), 1) == (1, 1, 6)
+    assert decontam.best_run(ids("a b c d e"), ids("x a b"), 1) is None
+    assert decontam.best_run(ids("a b c d e"), ids(""), 1) is None
+
+
 # ------------------------------------------------------------------ language
 def test_language_held_out(docs, none):
     got = {r["doc_id"]: r for r in language.language_digest(docs).collect()}
