@@ -88,90 +88,148 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.substring(F.lower(collapse_space(F.coalesce(text, F.lit("")))), 1, 5000), 256)
 
 
+def strip(text: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 # ------------------------------------------------------------------- cleaning
-# Patterns of lines and phrases that are no content.
-SEPARATOR_LINE = r"^[\s\-_=*~#•|.]{3,}$"
-PAGE_NUMBER_LINE = r"(?i)^\s*(page\s+)?\d+(\s*(of|/)\s*\d+)?\s*$"
-BREADCRUMB_LINE = r"^\s*\S+(\s*[>»/]\s*\S+){2,}\s*$"
-SOCIAL_PHRASES = r"(?i)\b(share on (facebook|twitter|linkedin|whatsapp)|follow us on \w+|tweet this|like us on facebook|subscribe to our newsletter|sign up for our newsletter|share this article|email this article)\b"
-NAVIGATION_PHRASES = r"(?i)\b(skip to (main )?content|back to top|read more|click here|continue reading|view all|load more|see more|sign in|log in|accept (all )?cookies)\b"
+# White space, control characters, lines that are no content, and phrases that are none to the end of their line.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+SEPARATOR_LINE = r"^[=*\-_~]{3,}$"
+PAGE_NUMBER_LINE = r"^\s*\d+\s*$|^Page\s+\d+"
+BREADCRUMB_LINE = r"^[A-Za-z]+\s*>\s*[A-Za-z]+(?:\s*>\s*[A-Za-z]+)*$"
+NAVIGATION_PHRASES = (
+    r"home\s*\|", r"about\s*us", r"contact\s*us", "sitemap", r"privacy\s*policy", r"terms\s*of\s*use", r"cookie\s*policy",
+    r"accessibility\s*statement", r"legal\s*notice", r"copyright\s*©", r"all\s*rights\s*reserved",
+)
+SOCIAL_PHRASES = (r"follow\s*us\s*on", r"like\s*us\s*on", r"share\s*this\s*page", r"tweet\s*this", r"sponsored\s*content", "advertisement", r"promoted\s*by", r"partner\s*content")
+#: Of this phrase the word alone goes.
+WORD_ALONE = "advertisement"
+#: Java flags for Python's reading of a pattern: Unicode classes, only \n ends a line.
+FLAGS, ANY_CASE = "(?Ud)", "(?iUd)"
+
+
+def normalized(text: Column) -> Column:
+    """Entities unescaped, then NFKC.  Only texts with an entity or a character beyond ASCII go to Python."""
+    from .html import unescape_nfkc
 
+    changes = text.contains("&") | (F.length(text) != F.octet_length(text))
+    return F.coalesce(unescape_nfkc(F.when(changes, text)), text)
 
-def clean(text: Column) -> Column:
-    """Native cleaning chain: newlines, control characters, furniture lines, phrases, white space.
 
-    Entity unescaping and NFKC need Python; ``functions.html.unescape_nfkc`` does them as a separate step.
-    """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    keep = F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(SEPARATOR_LINE) | x.rlike(PAGE_NUMBER_LINE) | x.rlike(BREADCRUMB_LINE)))
-    t = F.array_join(keep, "\n")
-    t = F.regexp_replace(F.regexp_replace(t, SOCIAL_PHRASES, ""), NAVIGATION_PHRASES, "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.btrim(t, F.lit(" \n\t"))
+def without_phrases(text: Column) -> Column:
+    """Phrases go one after the other, as each may bare another; texts without one are left as they are."""
+    phrases = NAVIGATION_PHRASES + SOCIAL_PHRASES
+
+    def chain(t: Column) -> Column:
+        for phrase in phrases:
+            t = F.regexp_replace(t, ANY_CASE + phrase + ("" if phrase == WORD_ALONE else ".*"), "")
+        return t
+
+    return let(text, lambda t: F.when(t.rlike(ANY_CASE + "|".join(phrases)), chain(t)).otherwise(t))
 
 
 def drop_repeated_headers(text: Column) -> Column:
-    """In texts of over 10 lines, short lines (under 5 words) that occur over 3 times stay only at their first place."""
+    """In texts of over 10 lines, those under 80 characters and 5 words that occur over 3 times stay only at their first place."""
 
     def of_lines(lines: Column) -> Column:
-        repeated = lambda x: (F.size(F.filter(lines, lambda y: F.trim(y) == F.trim(x))) > 3) & (word_count(x) < 5) & (F.trim(x) != "")
-        kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~repeated(s["x"]) | (F.array_position(F.transform(lines, F.trim), F.trim(s["x"])) == s["i"] + 1))
-        return F.when(F.size(lines) > 10, F.array_join(F.transform(kept, lambda s: s["x"]), "\n")).otherwise(F.array_join(lines, "\n"))
+        ordered = F.array_sort(F.filter(lines, lambda x: (F.length(x) < 80) & (F.regexp_count(x, F.lit(FLAGS + r"\S+")) < 5)))
+        often = lambda o: F.array_distinct(F.filter(o, lambda x, i: x == F.get(o, i + 3)))
+        once = lambda again: F.filter(lines, lambda x, i: ~F.array_contains(again, x) | (F.array_position(lines, x) == i + 1))
+        return F.array_join(F.when(F.size(lines) > 10, let(let(ordered, often), once)).otherwise(lines), "\n")
 
     return let(F.split(text, "\n"), of_lines)
 
 
-def alpha_ratio(text: Column) -> Column:
-    return F.coalesce(F.try_divide(F.length(F.regexp_replace(text, r"[^\p{L}]", "")).cast("double"), F.length(text)), F.lit(0.0))
+def clean(text: Column, normalize: bool = True) -> Column:
+    """Cleaning chain: entities and NFKC, newlines, control characters, furniture lines, phrases, repeated headers, white space."""
+    t = F.coalesce(text, F.lit(""))
+    t = F.regexp_replace(F.regexp_replace(normalized(t) if normalize else t, r"\r\n?", "\n"), CONTROL, " ")
+    furniture = f"{FLAGS}{SEPARATOR_LINE}|{PAGE_NUMBER_LINE}|{BREADCRUMB_LINE}"
+    t = F.array_join(F.filter(F.transform(F.split(t, "\n"), strip), lambda x: ~x.rlike(furniture)), "\n")
+    t = drop_repeated_headers(without_phrases(t))
+    return strip(F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
-def paragraphs(text: Column) -> Column:
-    """Blank-line-separated paragraphs of 40 characters and 40 % letters or more."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), F.trim)
-    return F.filter(parts, lambda p: (F.length(p) >= 40) & (alpha_ratio(p) >= 0.4))
+def alpha_ratio(text: Column) -> Column:
+    """Share of letters; 0 for an empty text."""
+    return F.coalesce(F.try_divide(F.length(F.regexp_replace(text, r"[^\p{L}]", "")).cast("double"), F.length(text)), F.lit(0.0))
 
 
 # Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|Inc|Ltd|Co|Corp|e\\.g|i\\.e|U\\.S|U\\.K"
+ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "etc", "vs", "Jan", "Feb", "Aug", "Sept", "Oct", "Nov", "Dec")
+DOTTED = ("e.g.", "i.e.", "U.S.", "U.K.")
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of over 15 characters; split behind .!? before a capital letter, not behind an abbreviation."""
-    guarded = F.regexp_replace(collapse_space(F.coalesce(text, F.lit(""))), rf"\b({ABBREVIATIONS})\.", "$1\u0001")
-    parts = F.split(guarded, r"(?<=[.!?])\s+(?=\p{Lu})")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: F.length(s) > 15)
+    """Sentences of over 15 characters; split behind .!? before A to Z, not behind an abbreviation."""
+    short = "|".join(ABBREVIATIONS)
+    guarded, open_again = F.regexp_replace(F.coalesce(text, F.lit("")), rf"({short})\.", "$1#"), lambda x: F.regexp_replace(x, f"({short})#", "$1.")
+    for word in DOTTED:
+        hidden = word.replace(".", "#")
+        guarded = F.replace(guarded, F.lit(word), F.lit(hidden))
+        open_again = (lambda inner, hidden, word: lambda x: F.replace(inner(x), F.lit(hidden), F.lit(word)))(open_again, hidden, word)
+    parts = F.split(guarded, FLAGS + r"(?<=[.!?])\s+(?=[A-Z])")
+    return F.filter(F.transform(parts, lambda x: strip(open_again(x))), lambda x: F.length(x) > 15)
 
 
 def syllables(word: Column) -> Column:
     """Vowel groups; words of up to 3 letters count one."""
-    groups = F.size(F.regexp_extract_all(F.lower(word), F.lit("([aeiouy]+)"), F.lit(1)))
-    return F.when(F.length(word) <= 3, F.lit(1)).otherwise(F.greatest(groups, F.lit(1)))
+    return F.when(F.length(word) <= 3, F.lit(1)).otherwise(F.regexp_count(F.lower(word), F.lit("[aeiouy]+")))
 
 
 def readability(text: Column) -> Column:
-    """Struct of words, sentences, syllables and Flesch reading ease (at least 0)."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}]+)"), F.lit(1))
-    ends = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?]+"), lambda s: F.trim(s) != ""))
-    total = lambda ws: F.aggregate(ws, F.lit(0), lambda a, w: a + syllables(w))
-    counted = let(words, lambda ws: F.struct(F.size(ws).alias("w"), total(ws).alias("y")))
-    ease = lambda m: F.greatest(F.lit(0.0), 206.835 - 1.015 * m["w"] / F.greatest(ends, F.lit(1)) - 84.6 * m["y"] / F.greatest(m["w"], F.lit(1)))
-    return let(counted, lambda m: F.struct(m["w"].alias("words"), ends.alias("sentences"), m["y"].alias("syllables"), F.when(m["w"] == 0, F.lit(0.0)).otherwise(ease(m)).alias("flesch")))
+    """Struct of words, sentences, syllables, mean lengths and Flesch reading ease (at least 0); null for a text without a word or a sentence."""
+    t = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(t, F.lit(f"({TOKEN})"), F.lit(1))
+    total = lambda ws, of: F.aggregate(ws, F.lit(0), lambda a, w: a + of(w))
+    counted = let(words, lambda ws: F.struct(F.size(ws).alias("w"), total(ws, syllables).alias("y"), total(ws, F.length).alias("c")))
+    ease = lambda m, n: F.greatest(F.lit(0.0), 206.835 - 1.015 * (m["w"] / n) - 84.6 * (m["y"] / m["w"]))
+
+    def of(m: Column, n: Column) -> Column:
+        measures = F.struct(
+            m["w"].alias("words"), n.alias("sentences"), m["y"].alias("syllables"),
+            F.round(m["w"] / n, 1).alias("avg_sentence_length"), F.round(m["c"] / m["w"], 1).alias("avg_word_length"), ease(m, n).alias("flesch"),
+        )
+        return F.when((m["w"] > 0) & (n > 0), measures)
+
+    return let(F.struct(counted.alias("m"), F.size(sentences(t)).alias("n")), lambda x: of(x["m"], x["n"]))
 
 
-# Words that mark technical text.
-TECHNICAL = "algorithm|api|database|server|software|network|protocol|function|data|system|code|model|performance|memory|cloud"
+# Words that mark technical text, and patterns of code, references and list items.
+TECHNICAL = (
+    "function", "class", "method", "variable", "import", "def", "return", "if", "else", "for", "while", "try", "except", "database", "api", "server", "client",
+    "json", "xml", "html", "css", "javascript", "python", "java",
+)
+CODE = (r"def\s+\w+\(.*\):", r"class\s+\w+:", r"import\s+\w+", r"print\(.*\)", r"console\.log\(.*\)", r"System\.out\.println\(.*\)", r"<[a-zA-Z][^>]*>")
+REFERENCES = r"\[\d+\]|\(\d{4}\)|et al\.|pp\."
+LIST_ITEM = r"^\s*(#+|\*+|\-+|\d+\.)\s+"
 
 
 def content_signals(text: Column) -> Column:
     """Struct of six signs that a text is content."""
     t = F.coalesce(text, F.lit(""))
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    return F.struct(
-        (count(r"\b[A-Za-z]{3,}\b") > 100).alias("has_natural_language"),
-        (count(rf"(?i)\b({TECHNICAL})\b") > 5).alias("has_technical_content"),
-        t.rlike(r"(?m)(^\s*(def|class|import|function|return)\b|[{};]\s*$)").alias("has_code"),
-        t.rlike(r"(https?://|\[\d+\]|\bdoi:)").alias("has_references"),
-        (count(r"(?m)^\s*([-*•]|\d+\.)\s") > 2).alias("has_structure"),
-        F.round(alpha_ratio(t), 6).alias("alpha_density"),
+    words = F.regexp_extract_all(F.lower(t), F.lit(FLAGS + r"(\b[a-zA-Z]{3,}\b)"), F.lit(1))
+    technical = F.array(*[F.lit(w) for w in TECHNICAL])
+    counted = let(words, lambda ws: F.struct(F.size(ws).alias("n"), F.size(F.filter(ws, lambda w: F.array_contains(technical, w))).alias("technical")))
+    return let(
+        counted,
+        lambda m: F.struct(
+            (m["n"] > 100).alias("has_natural_language"),
+            (m["technical"] > 5).alias("has_technical_terms"),
+            t.rlike(FLAGS + "|".join(CODE)).alias("has_code_examples"),
+            t.rlike(FLAGS + REFERENCES).alias("has_references"),
+            (F.regexp_count(t, F.lit("(?Udm)" + LIST_ITEM)) > 2).alias("has_structure"),
+            alpha_ratio(t).alias("content_density"),
+        ),
     )
+
+
+KEYWORD = r"\b[a-zA-Z'][a-zA-Z'-]{%d,}\b"
+
+
+def keyword_tokens(text: Column, least: int = 4) -> Column:
+    """Lower-case words of ``least`` characters or more, with apostrophes and hyphens."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{FLAGS}({KEYWORD % (least - 1)})"), F.lit(1))

@@ -5,50 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import structure as S
 from ..functions import text as T
 from . import quality
 
 
 def keywords(docs: DataFrame, key: str, text: str, n: int = 15, least: int = 4) -> DataFrame:
     """(key, keyword, count, place): the most frequent words of each text; ties by first appearance."""
-    words = docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}]+)"), F.lit(1))).alias("at", "keyword")).where(F.length("keyword") >= least)
+    words = docs.select(key, F.posexplode(T.keyword_tokens(F.col(text), least)).alias("at", "keyword"))
     counts = words.groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("at"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "at"))
     return counts.withColumn("place", place).where(F.col("place") <= n).drop("at")
 
 
-def _heading(line: Column, ahead: Column) -> Column:
-    """Short lines without a final stop, in title or upper case or numbered, with longer text in the next five lines."""
-    words = T.word_count(line)
-    shape = line.rlike(r"^#{1,6}\s+\S") | line.rlike(r"^\d+(\.\d+)*\.?\s+\p{Lu}") | (line == F.upper(line)) & line.rlike(r"\p{Lu}{2}") | line.rlike(r"^(\p{Lu}[\p{L}'’-]*)(\s+(\p{Lu}[\p{L}'’-]*|of|the|and|in|on|for|to|a|an))*:?$")
-    longer = F.exists(F.coalesce(ahead, F.array().cast("array<string>")), lambda x: F.length(x) > F.length(line) + 20)
-    return (words.between(1, 12)) & (F.length(line) <= 100) & ~line.rlike(r"[.!?,;]$") & shape & longer
+MAIN = "Main Content"
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section, lines): text lines below their headings in order; before the first heading 'Main Content'."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n", "line")).withColumn("line", F.trim("line")).where(F.col("line") != "")
-    order = Window.partitionBy(key).orderBy("n")
-    seen = lines.withColumn("ahead", F.collect_list("line").over(order.rowsBetween(1, 5))).withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy(key, "line")))
-    marked = seen.withColumn("heading", F.when(_heading(F.col("line"), F.col("ahead")) & (F.col("copies") == 1), F.regexp_replace("line", r"^#+\s*|:$", "")))
-    filled = marked.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("Main Content")))
-    body = filled.where(F.col("heading").isNull())
-    return body.groupBy(key, "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
-
+    """(key, section, lines): a text's lines below their headings, without navigation.
 
-def structured(docs: DataFrame, key: str, text: str, url: str, confidence: str | None = None) -> DataFrame:
-    """Structured documents: cleaned text, counts, paragraphs, sample sentences, readability, signals, type and quality."""
-    cleaned = docs.withColumn("cleaned_content", T.clean(F.col(text)))
+    Headings are marked with #, set in capitals, or look like one (``structure.heading``);
+    the same title again goes on with its section.  Lines before the first heading and
+    those of sections that are no content are the section ``MAIN``.
+    """
+    raw = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n", "raw")).withColumn("line", T.strip(F.col("raw")))
+    order = Window.partitionBy(key).orderBy("n")
+    seen = raw.withColumn("ahead", F.collect_list("line").over(order.rowsBetween(1, 5))).withColumn("copies", F.count_if(F.col("raw") == F.col("line")).over(Window.partitionBy(key, "line"))).where(F.col("line") != "")
+    line = F.col("line")
+    mark = F.regexp_extract(line, T.FLAGS + r"^#{1,6}\s+(.*)$", 1)
+    title = (
+        F.when(line.rlike(T.FLAGS + r"^#{1,6}\s+.*$"), F.regexp_replace(T.strip(mark), "[#*_`]", ""))
+        .when(line.rlike(T.FLAGS + r"^[A-Z\s]{5,30}$"), line)
+        .otherwise(S.heading(line, F.col("ahead"), F.col("copies")))
+    )
+    marked = seen.withColumn("title", title)
+    current = F.last(F.nullif("title", F.lit("")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    filled = marked.withColumn("section", F.coalesce(current, F.lit(MAIN)))
+    place = F.when(F.col("section") == MAIN, -1).otherwise(F.min("n").over(Window.partitionBy(key, "section")))
+    body = filled.withColumn("place", place).where(F.col("title").isNull() & (F.length("line") > 10) & ~S.is_navigation(line))
+    parts = body.groupBy(key, "section", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
+    own = F.when(S.is_content(F.col("lines")), F.col("section")).otherwise(F.lit(MAIN)).alias("section")
+    return parts.select(key, own, "place", "lines").groupBy(key, "section").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "lines"))), lambda x: x["lines"])).alias("lines"))
+
+
+# What a URL tells about the type of its content, in order of precedence.
+CONTENT_TYPES = (
+    ("encyclopedia", ("wikipedia.org", "wiki.")), ("official_docs", ("docs.python.org", "documentation")), ("tutorial", ("tutorial", "course", "learn")),
+    ("blog", ("blog", "medium.com", "dev.to")), ("qna", ("stackoverflow.com", "stackexchange.com")), ("code_repository", ("github.com", "gitlab.com")),
+    ("research_paper", ("research", "arxiv.org", "academic")), ("news_article", ("news", "article", "press")),
+)
+
+
+def url_content_type(url: Column) -> Column:
+    low = F.lower(F.coalesce(url, F.lit("")))
+    out = F
+    for name, marks in CONTENT_TYPES:
+        out = out.when(low.rlike("|".join(m.replace(".", r"\.") for m in marks)), name)
+    return out.otherwise("unknown")
+
+
+def structured(docs: DataFrame, key: str, text: str, url: str, confidence: str | None = None, normalize: bool = True) -> DataFrame:
+    """Structured documents: cleaned text, counts, paragraphs, sections, sample sentences, readability, signals, type and quality."""
+    conf = F.coalesce(F.col(confidence), F.lit(0.0)) if confidence else F.lit(0.5)
+    cleaned = docs.select(key, url_content_type(F.col(url)).alias("content_type"), conf.alias("confidence"), F.explode(F.array(T.clean(F.col(text), normalize))).alias("cleaned_content"))
     c = F.col("cleaned_content")
-    low = F.lower(F.coalesce(F.col(url), F.lit("")))
-    kind = F.when(low.rlike("news|/20[0-9]{2}/"), "news").when(low.rlike("blog"), "blog").when(low.rlike("docs?\\.|/docs?/"), "documentation").when(low.rlike("wiki"), "encyclopedia").otherwise("article")
-    parts = cleaned.select("*", F.explode(F.array(F.struct(T.paragraphs(c).alias("paragraphs"), T.content_signals(c).alias("signals"), T.readability(c).alias("readability")))).alias("__s"))
-    conf = F.col(confidence) if confidence else F.lit(0.5)
+    parts = cleaned.select("*", F.explode(F.array(F.struct(S.paragraphs(c).alias("paragraphs"), T.content_signals(c).alias("signals"), T.readability(c).alias("readability"), T.sentences(c).alias("sentences")))).alias("s"))
+    listed = sections(cleaned, key, "cleaned_content").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("section", "lines"))).alias("content_sections"))
+    joined = parts.join(listed, key, "left").withColumn("content_sections", F.coalesce("content_sections", F.create_map().cast("map<string,array<string>>")))
     words = T.word_count(c)
-    score = quality.document_quality(conf, words, F.lit(0), F.size("__s.paragraphs"), F.col("__s.signals.has_natural_language"))
-    return parts.select(
-        key, "cleaned_content", words.alias("word_count"), F.size("__s.paragraphs").alias("paragraph_count"), F.get("__s.paragraphs", F.lit(0)).alias("first_paragraph"),
-        F.slice(T.sentences(c), 1, 5).alias("sample_sentences"), "__s.readability", "__s.signals", kind.alias("content_type"), score.alias("content_quality_score"),
+    score = quality.document_quality(F.col("confidence"), words, F.size("content_sections"), F.size("s.paragraphs"), F.col("s.signals.has_natural_language"))
+    return joined.select(
+        key, "cleaned_content", words.alias("word_count"), F.size("s.paragraphs").alias("paragraph_count"), S.opening_paragraph(F.col("s.paragraphs"), c).alias("first_paragraph"),
+        "content_sections", F.size("s.sentences").alias("sentences_count"), F.slice("s.sentences", 1, 5).alias("sample_sentences"), "s.readability", "s.signals", "content_type",
+        F.when(c == "", 0.0).otherwise(F.round(score, 2)).alias("content_quality_score"),
     )
 
 

@@ -99,10 +99,10 @@ def confidence(content: Column, method: Column) -> Column:
 
 
 def document_quality(conf: Column, words: Column, sections: Column, paragraphs: Column, natural: Column) -> Column:
-    """0.3 confidence + 0.1 to 0.4 by length + 0.2 sections + 0.1 paragraphs + 0.1 natural language, at most 1."""
+    """0.3 confidence + 0.1 to 0.4 by length + 0.2 for several sections + 0.1 for over five paragraphs + 0.1 natural language, at most 1."""
     length = F.when(words > 1000, 0.4).when(words > 500, 0.3).when(words > 200, 0.2).when(words > 50, 0.1).otherwise(0.0)
     one = lambda c, v: F.when(c, v).otherwise(0.0)
-    return F.least(0.3 * conf + length + one(sections > 0, 0.2) + one(paragraphs > 0, 0.1) + one(natural, 0.1), F.lit(1.0))
+    return F.least(0.3 * conf + length + one(sections > 1, 0.2) + one(paragraphs > 5, 0.1) + one(natural, 0.1), F.lit(1.0))
 
 
 # HTTP codes that a retry may cure, and codes that it won't.

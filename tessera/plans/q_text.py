@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import structure as S
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import quality as Q
@@ -20,10 +21,15 @@ def tokens_stems(spark, d):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", T.stem("word").alias("stem"), "n")
 
 
+# For RE2, whose word boundaries are ASCII: letters beyond ASCII become _, other characters beyond it a space.
+_ASCII = r"regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+
+
 @query(
     "top_keywords_per_document",
-    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS keyword, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}]+'), 1) AS spot FROM documents),
-c AS (SELECT doc_id, keyword, count(*) AS count, min(spot) AS spot FROM w WHERE length(keyword) >= 4 GROUP BY ALL),
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all({_ASCII.format("lower(text)")}, '\b[a-zA-Z''][a-zA-Z''-]{{3,}}\b') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS keyword, generate_subscripts(ws, 1) AS spot FROM t),
+c AS (SELECT doc_id, keyword, count(*) AS count, min(spot) AS spot FROM w GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, spot) AS place FROM c)
 SELECT doc_id, keyword, count, place FROM r WHERE place <= 15""",
 )
@@ -31,16 +37,25 @@ def top_keywords_per_document(spark, d):
     return D.keywords(table(spark, d, "documents"), "doc_id", "text")
 
 
+# Sentences as a list: abbreviations hidden, ends in front of a capital marked and cut, abbreviations shown again.
+_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(
+  replace(replace(replace(replace(regexp_replace({0}, '(Dr|Mr|Mrs|Ms|Prof|etc|vs|Jan|Feb|Aug|Sept|Oct|Nov|Dec)\.', '\1#', 'g'), 'e.g.', 'e#g#'), 'i.e.', 'i#e#'), 'U.S.', 'U#S#'), 'U.K.', 'U#K#'),
+  '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+  lambda x: trim(replace(replace(replace(replace(regexp_replace(x, '(Dr|Mr|Mrs|Ms|Prof|etc|vs|Jan|Feb|Aug|Sept|Oct|Nov|Dec)#', '\1.', 'g'), 'e#g#', 'e.g.'), 'i#e#', 'i.e.'), 'U#S#', 'U.S.'), 'U#K#', 'U.K.'), ' ' || chr(9) || chr(10) || chr(13))),
+  lambda x: length(x) > 15)"""
+
+
 @query(
     "readability",
-    r"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}]+') AS ws, len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(s) <> '')) AS sentences FROM documents),
-b AS (SELECT doc_id, len(ws) AS words, sentences, coalesce(list_sum(list_transform(ws, lambda w: CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(lower(w), '[aeiouy]+')), 1) END)), 0) AS syllables FROM a)
-SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(sentences AS INTEGER) AS sentences, CAST(syllables AS INTEGER) AS syllables,
- round(CASE WHEN words = 0 THEN 0 ELSE greatest(0, 206.835 - 1.015 * words / greatest(sentences, 1) - 84.6 * syllables / greatest(words, 1)) END + 1e-9, 4) AS flesch FROM b""",
+    rf"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS ws, len({_SENTENCES.format("text")}) AS sentences FROM documents),
+b AS (SELECT doc_id, len(ws) AS words, sentences, list_sum(list_transform(ws, lambda w: length(w))) AS chars,
+ list_sum(list_transform(ws, lambda w: CASE WHEN length(w) <= 3 THEN 1 ELSE len(regexp_extract_all(lower(w), '[aeiouy]+')) END)) AS syllables FROM a WHERE len(ws) > 0 AND sentences > 0)
+SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(sentences AS INTEGER) AS sentences, CAST(syllables AS INTEGER) AS syllables, round(words / sentences + 1e-9, 1) AS avg_sentence_length,
+ round(chars / words + 1e-9, 1) AS avg_word_length, round(greatest(0, 206.835 - 1.015 * (words / sentences) - 84.6 * (syllables / words)) + 1e-9, 4) AS flesch FROM b""",
 )
 def readability(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(T.readability(F.col("text")))).alias("r"))
-    return rows.select("doc_id", "r.words", "r.sentences", "r.syllables", F.round(F.col("r.flesch") + 1e-9, 4).alias("flesch"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(T.readability(F.col("text")))).alias("r")).where(F.col("r").isNotNull())
+    return rows.select("doc_id", "r.words", "r.sentences", "r.syllables", "r.avg_sentence_length", "r.avg_word_length", F.round(F.col("r.flesch") + 1e-9, 4).alias("flesch"))
 
 
 @query(
@@ -52,45 +67,82 @@ def content_hash_groups(spark, d):
     return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
 
 
-@query(
-    "clean_text",
-    rf"""WITH l AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), chr(10)) AS a FROM documents),
-k AS (SELECT doc_id, array_to_string(list_filter(a, lambda x: NOT (regexp_matches(x, '{T.SEPARATOR_LINE}') OR regexp_matches(x, '{T.PAGE_NUMBER_LINE}') OR regexp_matches(x, '{T.BREADCRUMB_LINE}'))), chr(10)) AS t FROM l),
-p AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{T.SOCIAL_PHRASES}', '', 'g'), '{T.NAVIGATION_PHRASES}', '', 'g') AS t FROM k),
-w AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS t FROM p)
-SELECT doc_id, length(t) AS cleaned_chars, sha256(t) AS cleaned_sha256 FROM w""",
-)
+# The phrases go one after the other, each up to the end of its line, the word 'advertisement' alone.
+_CLEANED = "t"
+for _phrase in (
+    r"home\s*\|.*", r"about\s*us.*", r"contact\s*us.*", r"sitemap.*", r"privacy\s*policy.*", r"terms\s*of\s*use.*", r"cookie\s*policy.*", r"accessibility\s*statement.*",
+    r"legal\s*notice.*", r"copyright\s*©.*", r"all\s*rights\s*reserved.*", r"follow\s*us\s*on.*", r"like\s*us\s*on.*", r"share\s*this\s*page.*", r"tweet\s*this.*",
+    r"sponsored\s*content.*", r"advertisement", r"promoted\s*by.*", r"partner\s*content.*",
+):
+    _CLEANED = f"regexp_replace({_CLEANED}, '(?i){_phrase}', '', 'g')"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: (doc_id, t): cleaned texts of {0}, a table (doc_id, text).
+_CLEAN = rf"""
+l AS (SELECT doc_id, string_split(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', ' ', 'g'), chr(10)) AS a FROM {{0}}),
+k AS (SELECT doc_id, array_to_string(list_filter(list_transform(a, lambda x: trim(x, {_WHITE})), lambda x: NOT regexp_matches(x, '^[=*\-_~]{{3,}}$')
+  AND NOT regexp_matches(x, '^\s*\d+\s*$|^Page\s+\d+') AND NOT regexp_matches(x, '^[A-Za-z]+\s*>\s*[A-Za-z]+(\s*>\s*[A-Za-z]+)*$')), chr(10)) AS t FROM l),
+p AS (SELECT doc_id, string_split({_CLEANED}, chr(10)) AS a FROM k),
+e AS (SELECT doc_id, len(a) AS n, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM p),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS copies, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS turn FROM e),
+h AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM c
+  WHERE NOT (n > 10 AND length(line) < 80 AND copies > 3 AND len(regexp_extract_all(line, '\S+')) < 5 AND turn > 1) GROUP BY doc_id),
+cleaned AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), {_WHITE}) AS t FROM h)""".replace("{{", "{").replace("}}", "}")
+
+
+@query("clean_text", f"WITH {_CLEAN.replace('{0}', 'documents')} SELECT doc_id, length(t) AS cleaned_chars, sha256(t) AS cleaned_sha256 FROM cleaned")
 def clean_text(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(T.clean(F.col("text")))).alias("t"))
     return rows.select("doc_id", F.length("t").alias("cleaned_chars"), F.sha2("t", 256).alias("cleaned_sha256"))
 
 
+def _noisy(docs):
+    """Documents with furniture between their lines, by doc_id."""
+    k = F.col("doc_id") % 6
+    noise = F.element_at(F.array(*[F.lit(x) for x in _NOISE]), (k + 1).cast("int"))
+    return docs.select("doc_id", F.concat(noise, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"), noise, F.lit("\n\n\n\nend  of\tit\t \t.")).alias("text"))
+
+
+_NOISE = (
+    "Home | News | Sport\n=====\n 12 \nPage 7 of 9\nHome > News > World", "See our Privacy  Policy\n---\nfollow us on all of them\nAdvertisement here", "Menu\nMenu\nMenu\nMenu\nMenu\ntext of its own",
+    "about\nus and them\nCopyright © 2024 X\r\nAll rights reserved.", "tab\x07bell\x01\nTweet this now\n****", "A > B\nContact us\n~~~\n__\nShare this page\nlegal notice",
+)
+
+
 @query(
-    "paragraph_statistics",
-    r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x)), lambda x: length(x) >= 40 AND length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 0.4 * length(x)) AS ps FROM documents)
-SELECT doc_id, CAST(len(ps) AS INTEGER) AS paragraphs, coalesce(list_max(list_transform(ps, lambda x: length(x))), 0) AS longest FROM p""",
+    "clean_noisy_text",
+    "WITH noise AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, " + " || ".join(f"chr({ord(c)})" if not c.isprintable() else f"'{c}'" for c in x) + ")" for i, x in enumerate(_NOISE))
+    + ") v(k, x)), raw AS (SELECT doc_id, x || chr(10) || coalesce(text, '') || chr(10) || x || repeat(chr(10), 4) || 'end  of' || chr(9) || 'it' || chr(9) || ' ' || chr(9) || '.' AS text FROM documents JOIN noise ON doc_id % 6 = k),"
+    + f"{_CLEAN.replace('{0}', 'raw')} SELECT doc_id, length(t) AS cleaned_chars, sha256(t) AS cleaned_sha256 FROM cleaned",
 )
+def clean_noisy_text(spark, d):
+    rows = _noisy(table(spark, d, "documents")).select("doc_id", F.explode(F.array(T.clean(F.col("text")))).alias("t"))
+    return rows.select("doc_id", F.length("t").alias("cleaned_chars"), F.sha2("t", 256).alias("cleaned_sha256"))
+
+
+@query("paragraph_statistics")
 def paragraph_statistics(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(T.paragraphs(F.col("text")))).alias("ps"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(S.paragraphs(F.col("text")))).alias("ps"))
     return rows.select("doc_id", F.size("ps").alias("paragraphs"), F.coalesce(F.array_max(F.transform("ps", F.length)), F.lit(0)).alias("longest"))
 
 
-@query("sentence_split")
+@query("sentence_split", f"WITH s AS (SELECT doc_id, {_SENTENCES.format('text')} AS ss FROM documents) SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS n, unnest(ss) AS sentence FROM s")
 def sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
 
 
 @query(
     "content_signals",
-    rf"""WITH c AS (SELECT doc_id, text,
- len(regexp_extract_all(text, '\b[A-Za-z]{{3,}}\b')) AS words, len(regexp_extract_all(text, '(?i)\b({T.TECHNICAL})\b')) AS tech,
- len(regexp_extract_all(text, '(?m)^\s*([-*•]|\d+\.)\s')) AS marks, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters FROM documents)
-SELECT doc_id, tech > 5 AS has_technical_content, regexp_matches(text, '(https?://|\[\d+\]|\bdoi:)') AS has_references, marks > 2 AS has_structure,
- round(coalesce(CAST(letters AS DOUBLE) / nullif(length(text), 0), 0), 6) AS alpha_density FROM c""",
+    rf"""WITH w AS (SELECT doc_id, text, regexp_extract_all({_ASCII.format("lower(text)")}, '\b[a-zA-Z]{{3,}}\b') AS ws FROM documents)
+SELECT doc_id, len(ws) > 100 AS has_natural_language,
+ len(list_filter(ws, lambda w: w IN ('function', 'class', 'method', 'variable', 'import', 'def', 'return', 'if', 'else', 'for', 'while', 'try', 'except', 'database', 'api', 'server', 'client', 'json', 'xml', 'html', 'css', 'javascript', 'python', 'java'))) > 5 AS has_technical_terms,
+ regexp_matches(text, 'def\s+\w+\(.*\):|class\s+\w+:|import\s+\w+|print\(.*\)|console\.log\(.*\)|System\.out\.println\(.*\)|<[a-zA-Z][^>]*>') AS has_code_examples,
+ regexp_matches(text, '\[\d+\]|\(\d{{4}}\)|et al\.|pp\.') AS has_references, len(regexp_extract_all(text, '(?m)^\s*(#+|\*+|\-+|\d+\.)\s+')) > 2 AS has_structure,
+ round(coalesce(CAST(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS DOUBLE) / nullif(length(text), 0), 0), 6) AS content_density FROM w""",
 )
 def content_signals(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(T.content_signals(F.col("text")))).alias("s"))
-    return rows.select("doc_id", "s.has_technical_content", "s.has_references", "s.has_structure", "s.alpha_density")
+    return rows.select("doc_id", *[f"s.{c}" for c in ("has_natural_language", "has_technical_terms", "has_code_examples", "has_references", "has_structure")], F.round("s.content_density", 6).alias("content_density"))
 
 
 _SIMILAR = r"(SELECT count(*) FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) AS w) x WHERE contains(lower(content), w))"

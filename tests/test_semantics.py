@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, html, text, urls
+from tessera.functions import dates, html, structure, text, urls
 from tessera.functions import query as Q
 from tessera.operators import bm25f, dedup, diff, documents, facets, feeds, graph, ingest, ranking, state, vectors
 from tessera.sources import landed, plugins, sinks
@@ -39,9 +39,9 @@ def test_query_operators():
 
 def test_null_and_empty_texts(spark):
     rows = spark.createDataFrame([(None,), ("",)], "t string").select(
-        text.tokens(F.col("t")).alias("tokens"), text.word_count(F.col("t")).alias("n"), F.size(text.sentences(F.col("t"))).alias("s"), text.readability(F.col("t"))["flesch"].alias("f"), F.size(text.paragraphs(F.col("t"))).alias("p")
+        text.tokens(F.col("t")).alias("tokens"), text.word_count(F.col("t")).alias("n"), F.size(text.sentences(F.col("t"))).alias("s"), text.readability(F.col("t")).alias("f"), F.size(structure.paragraphs(F.col("t"))).alias("p")
     ).collect()
-    assert all((r["tokens"], r["n"], r["s"], r["f"], r["p"]) == ([], 0, 0, 0.0, 0) for r in rows)
+    assert all((r["tokens"], r["n"], r["s"], r["f"], r["p"]) == ([], 0, 0, None, 0) for r in rows)
 
 
 def test_sentences_keep_abbreviations(spark):
