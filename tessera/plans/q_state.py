@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import diff, graph, state
 from ..sources import plugins, sinks
 from ..streaming import jobs
+from . import responses
 from .common import query, table
 
 _TIERS = ("requests", "browser", "requests", "mirror", "browser")
@@ -166,16 +167,50 @@ def patch_lines(spark, d):
 
 
 # --------------------------------------------------------------------- sources
-@query("plugin_records", """WITH p AS (SELECT o_orderkey AS k, o_orderkey % 900 AS c, (['openalex', 'gitlab', 'jikan', 'zenodo', 'arxiv'])[o_orderkey % 5 + 1] AS source FROM orders)
-SELECT k AS pos, source, 'https://example.org/' || k AS url, 'Title ' || k AS title, round(CAST(CASE source WHEN 'openalex' THEN least(c / 500.0, 1) WHEN 'gitlab' THEN least(c / 500.0, 1) WHEN 'jikan' THEN least(c / 10.0, 1) WHEN 'zenodo' THEN least(c / 1000.0, 1) ELSE 0.5 END AS DOUBLE), 6) AS authority_score FROM p""")
+@query("plugin_records", """WITH p AS (SELECT o_orderkey AS k, o_orderkey % 900 AS c, (['openalex', 'gitlab', 'jikan', 'zenodo', 'hackernews'])[o_orderkey % 5 + 1] AS source FROM orders)
+SELECT k AS pos, source, CASE source WHEN 'openalex' THEN 'https://doi.org/10.1/' || k WHEN 'zenodo' THEN 'https://zenodo.org/records/' || k WHEN 'hackernews' THEN 'https://news.ycombinator.com/item?id=' || k ELSE 'https://example.org/' || k END AS url, 'Title ' || k AS title,
+ CASE source WHEN 'openalex' THEN 'word ' || c WHEN 'gitlab' THEN 'GitLab project Title ' || k || ' — ' || c || ' stars, 0 forks' WHEN 'jikan' THEN CASE WHEN c > 0 THEN c || ' eps | Score: ' || c ELSE '' END WHEN 'zenodo' THEN 'Number ' || c ELSE 'Points: ' || c || ' | Comments: 3 | Author: a' || c END AS snippet,
+ round(CAST(CASE source WHEN 'openalex' THEN least(c / 500.0, 1) WHEN 'gitlab' THEN least(c / 500.0, 1) WHEN 'jikan' THEN least(c / 10.0, 1) WHEN 'zenodo' THEN least((c + 1) / 1000.0, 1) ELSE least(c / 500.0, 1) END AS DOUBLE), 6) AS authority_score FROM p""")
 def plugin_records(spark, d):
-    k = F.col("o_orderkey")
-    c = (k % 900).cast("string")
-    source = F.element_at(F.array(*[F.lit(x) for x in ("openalex", "gitlab", "jikan", "zenodo", "arxiv")]), (k % 5 + 1).cast("int"))
-    payload = F.concat(F.lit('{"title":"Title '), k.cast("string"), F.lit('","url":"https://example.org/'), k.cast("string"), F.lit('","cited_by_count":'), c, F.lit(',"star_count":'), c, F.lit(',"score":'), c, F.lit(',"stats":{"downloads":'), c, F.lit("}}"))
-    landed = table(spark, d, "orders").select(k.alias("pos"), source.alias("source"), payload.alias("payload"))
-    found = plugins.search_all(landed, names=["openalex", "gitlab", "jikan", "zenodo", "arxiv"])
-    return found.select("pos", "source", "url", "title", F.round("authority_score", 6).alias("authority_score"))
+    k, c = F.col("k"), F.col("c")
+    fill = lambda shape: F.replace(F.replace(F.lit(shape), F.lit("#K"), k), F.lit("#C"), c)
+    shapes = {
+        "openalex": '{"results":[{"id":"https://openalex.org/W#K","doi":"https://doi.org/10.1/#K","title":"Title #K","abstract_inverted_index":{"#C":[1],"word":[0]},"cited_by_count":#C}]}',
+        "gitlab": '[{"id":#K,"name":"Title #K","web_url":"https://example.org/#K","star_count":#C}]',
+        "jikan": '{"data":[{"mal_id":#K,"title":"Title #K","url":"https://example.org/#K","episodes":#C,"score":#C}]}',
+        "zenodo": '{"hits":{"hits":[{"id":#K,"metadata":{"title":"Title #K","description":"<p>Number #C</p>"},"files":[{"downloads":#C},{"downloads":1}]}]}}',
+        "hackernews": '{"hits":[{"objectID":"#K","title":"Title #K","points":#C,"num_comments":3,"author":"a#C"}]}',
+    }
+    source = F.element_at(F.array(*[F.lit(x) for x in shapes]), (F.col("pos") % 5 + 1).cast("int"))
+    payload = F
+    for name, shape in shapes.items():
+        payload = payload.when(F.col("source") == name, fill(shape))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("k"), (F.col("o_orderkey") % 900).cast("string").alias("c")).withColumn("source", source)
+    found = plugins.search_all(rows.select("pos", "source", payload.alias("payload")), names=sorted(shapes))
+    return found.select("pos", "source", "url", "title", "snippet", F.round("authority_score", 6).alias("authority_score"))
+
+
+@query("provider_records", responses.expected_sql())
+def provider_records(spark, d):
+    landed = spark.createDataFrame(responses.payloads(), "source string, payload string")
+    return plugins.search_all(landed).select("source", *responses.FIELDS)
+
+
+@query("source_listing", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', {str(n in ('arxiv', 'zenodo')).lower()})" for n, t in sorted((n, records[0][5]) for n, (_, records) in responses.RESPONSES.items())) + ") v(source, content_type, configured)")
+def source_listing(spark, d):
+    return plugins.listing(spark, ("arxiv", "zenodo"))
+
+
+@query("unknown_sources", "SELECT DISTINCT p_type AS source FROM part WHERE p_type IS NOT NULL")
+def unknown_sources(spark, d):
+    known = plugins.listing(spark).select("source")
+    return plugins.unknown(table(spark, d, "part").select(F.col("p_type").alias("source")).where("source IS NOT NULL").distinct().unionByName(known), spark)
+
+
+@query("relaxed_attempts", """SELECT CAST(n_nationkey AS INTEGER) AS attempt, (['auto', 'html', 'lite'])[n_nationkey % 3 + 1] AS backend, CASE WHEN n_nationkey < 1 THEN 'set' END AS timelimit, CASE WHEN n_nationkey < 1 THEN 'set' END AS filters,
+ CASE WHEN n_nationkey < 2 THEN 'moderate' ELSE 'off' END AS safesearch FROM nation""")
+def relaxed_attempts(spark, d):
+    return plugins.relaxation(table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("attempt")))
 
 
 @query("merged_engines", """WITH r AS (SELECT 1 AS o, page_id AS pos, url FROM pages UNION ALL SELECT 2, page_id, url || '/' FROM pages UNION ALL SELECT 3, page_id, 'https://only.example.org/' || page_id FROM pages)

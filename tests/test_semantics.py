@@ -286,13 +286,13 @@ def test_plugins(spark):
 
 
 def test_landed_source(spark, tmp_path):
-    for name in ("arxiv", "gitlab"):
+    for name in ("jikan", "gitlab"):
         (tmp_path / name).mkdir()
-        (tmp_path / name / "a.jsonl").write_text(json.dumps({"title": name, "url": f"https://{name}.org"}) + "\n\n")
+        (tmp_path / name / "a.jsonl").write_text(json.dumps({"name": name, "title": name, "url": f"https://{name}.org"}) + "\n\n")
     spark.dataSource.register(landed.LandedSource)
     rows = spark.read.format("tessera_landed").option("path", str(tmp_path)).load()
-    assert sorted(r["title"] for r in plugins.search_all(rows, names=["arxiv", "gitlab"]).collect()) == ["arxiv", "gitlab"]
-    assert spark.read.format("tessera_landed").option("path", str(tmp_path)).option("sources", "arxiv").load().count() == 1
+    assert sorted(r["title"] for r in plugins.search_all(rows, names=["jikan", "gitlab"]).collect()) == ["gitlab", "jikan"]
+    assert spark.read.format("tessera_landed").option("path", str(tmp_path)).option("sources", "jikan").load().count() == 1
 
 
 def test_unified_flatten_prune_abstract(spark):
