@@ -1,19 +1,22 @@
 """Fielded BM25 over DataFrames.
 
-Postings are cut to the query's terms while the texts are tokenized, inside the
-scan's stage: what is shuffled is matched tokens, not the corpus.  Lengths come
-from the token arrays themselves.
+Texts are tokenized once, inside the scan's stage: what is written from there is
+one row for each document and field, its length and its tokens that match the
+query.  A glance at a token's first letters tells most of those that cannot match
+before they are stemmed.  Lengths, postings and phrases come from the written rows.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import query as Q
-from ..functions.text import stem, tokens
+from ..functions.text import stem_sql, tokens
+from ..shared import stored
 
 
 @dataclass(frozen=True)
@@ -45,16 +48,48 @@ def _wanted(term: Column, terms: list[str], s: Settings) -> Column:
     return out
 
 
+def _glance(terms: list[str], s: Settings) -> str:
+    """Pattern of the tokens whose stem may be wanted.
+
+    A stem keeps the first three letters of its token, but for short words that
+    end in -ies, -ied, -ing or -ed, which all pass.  Within one edit of a term the
+    first letters (three, of short terms fewer) are the term's, or those with one
+    changed, added or gone.
+    """
+    if s.typos > 1 or any(not re.fullmatch(r"\w+", q) for q in terms):
+        return "."
+    heads = set()
+    for q in terms:
+        n = min(3, max(len(q) - 1, 1))
+        heads.add(q[:n])
+        if s.typos:
+            heads |= {q[:i] + "." + q[i + 1 : n] for i in range(n)}  # one changed
+            heads |= {q[:i] + "." + q[i : n - 1] for i in range(n)}  # one added
+            heads |= {q[:i] + q[i + 1 : n + 1] for i in range(n)}  # one gone
+    return f"^(?:{'|'.join(sorted(heads))})|^.{{0,7}}(?:ies|ied|ing|ed)$"
+
+
+def matches(docs: DataFrame, terms: list[str], key: str, s: Settings) -> DataFrame:
+    """(key, field, dl, hits): for each document and field its length and the places and stems of the tokens that may match."""
+    fields = long_fields(docs, key, list(s.weights))
+    placed = F.transform("tokens", lambda t, i: F.struct(i.alias("at"), t.alias("token")))
+    near = F.filter(placed, lambda x: x["token"].rlike(_glance(terms, s)))
+    cut_down = fields.select("key", "field", F.size("tokens").alias("dl"), near.alias("near"))
+    word = "x.token"
+    stemmed = F.expr(f"transform(near, x -> named_struct('at', x.at, 'term', {stem_sql(word, f'length({word}) = octet_length({word})')}))")
+    return stored(cut_down.select("key", "field", "dl", F.filter(stemmed, lambda x: _wanted(x["term"], terms, s)).alias("hits")))
+
+
 def scores(docs: DataFrame, query: str, key: str = "pos", settings: Settings | None = None) -> DataFrame:
     """(key, bm25f) of every document that matches ``query``; others score 0 and have no row."""
     s = settings or Settings()
     order = Q.stems(query)
     terms = list(dict.fromkeys(order))
-    fields = long_fields(docs, key, list(s.weights))
-    stats = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    words = fields.select("key", "field", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("at", "token"))
-    # explode of one element: else the filter would repeat the stemmer's CASE for each of its terms
-    placed = words.select("key", "field", "dl", "at", F.explode(F.array(stem("token"))).alias("term")).where(_wanted(F.col("term"), terms, s))
+    if not terms:
+        return docs.select(F.col(key), F.lit(0.0).alias("bm25f")).limit(0)
+    rows = matches(docs, terms, key, s)
+    stats = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+    placed = rows.select("key", "field", "dl", F.explode("hits").alias("h")).select("key", "field", "dl", "h.at", "h.term")
     postings = placed.groupBy("key", "field", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -84,8 +119,6 @@ def scores(docs: DataFrame, query: str, key: str = "pos", settings: Settings | N
 
 def flat_scores(docs: DataFrame, query: str, key: str = "pos", text: str = "content", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(key, bm25) of one field, exact unstemmed tokens."""
-    import re
-
     terms = list(dict.fromkeys(re.findall(r"\w+", query.lower())))
     rows = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("tokens"))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))

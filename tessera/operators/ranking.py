@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, query as Q, urls
 from ..functions.text import occurrences, word_count
+from ..shared import stored
 from . import bm25f
 
 # Quality of candidate sources, in order of precedence for prefixes.
@@ -186,11 +188,21 @@ def with_rank(rows: DataFrame, score: str, key: str = "pos", limit: int | None =
     return ranked.withColumn("rank", (F.col("__before") + inside + 1).cast("int")).drop("__at", "__part", "__before")
 
 
-def min_max(score: str, *partition: str) -> Column:
-    """Score within 0 and 1 over its result set; equal scores are 0.5."""
-    w = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(1))
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high - low < 1e-9, 0.5).otherwise((F.col(score) - low) / (high - low))
+def min_max(rows: DataFrame, score: str, out: str, *partition: str) -> DataFrame:
+    """``rows`` and ``out``: the score within 0 and 1 over its result set (all rows, or each ``partition``); equal scores are 0.5.
+
+    The bounds are aggregated, written and joined back, so that a large set is a
+    join that can be split and not one window.
+    """
+    low, high = F.min(score).alias("__low"), F.max(score).alias("__high")
+    if partition:
+        bounds = stored(rows.groupBy(*partition).agg(low, high))
+        keys = [F.col(f"r.{p}").eqNullSafe(F.col(f"b.{p}")) for p in partition]
+        joined = rows.alias("r").join(bounds.alias("b"), reduce(lambda x, y: x & y, keys)).select("r.*", "__low", "__high")
+    else:
+        joined = rows.crossJoin(F.broadcast(rows.agg(low, high)))  # one row
+    span = F.col("__high") - F.col("__low")
+    return joined.withColumn(out, F.when(span < 1e-9, 0.5).otherwise((F.col(score) - F.col("__low")) / span)).drop("__low", "__high")
 
 
 def composite(rows: DataFrame, hint: str, now: Column, weights: tuple[float, float, float, float] | None = None) -> DataFrame:

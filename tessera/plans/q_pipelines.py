@@ -63,13 +63,8 @@ def reddit_posts(spark, d):
 
 @query("platform_envelopes", "SELECT role AS platform, 'q' AS query, count(*) AS result_count FROM conversations GROUP BY role")
 def platform_envelopes(spark, d):
-    rows = table(spark, d, "conversations")
-    roles = [r["role"] for r in rows.select("role").distinct().collect()]  # two or three
-    found = None
-    for r in sorted(roles):
-        part = payloads.items(rows.where(F.col("role") == r).select(F.col("text").alias("content"), "conv_id", "turn"), r)
-        found = part if found is None else found.unionByName(part)
-    return payloads.envelopes(found, "q")
+    rows = table(spark, d, "conversations").select(F.col("role").alias("platform"), F.col("text").alias("content"), "conv_id", "turn")
+    return payloads.envelopes(payloads.items(rows), "q")
 
 
 @query("file_types", """WITH p AS (SELECT p_partkey, lower((['src/Main.py', 'README.MD', 'Dockerfile', 'data/x.csv', 'noext', 'a.b/c.unknown'])[p_partkey % 6 + 1]) AS f FROM part)

@@ -232,7 +232,7 @@ def social_ranking(spark, d):
     """SELECT doc_id, round(CAST(CASE WHEN max(n_chars) OVER w - min(n_chars) OVER w < 1e-9 THEN 0.5 ELSE CAST(n_chars - min(n_chars) OVER w AS DOUBLE) / (max(n_chars) OVER w - min(n_chars) OVER w) END AS DOUBLE), 6) AS scaled FROM documents WINDOW w AS (PARTITION BY source)""",
 )
 def min_max_by_source(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(ranking.min_max("n_chars", "source"), 6).alias("scaled"))
+    return ranking.min_max(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "n_chars", "scaled", "source").select("doc_id", F.round("scaled", 6).alias("scaled"))
 
 
 @query("near_duplicate_clusters")

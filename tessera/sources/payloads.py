@@ -34,11 +34,12 @@ def _each(rows: DataFrame, payload: str, path: str, *keep: str) -> DataFrame:
 ITEM = ("platform", "author", "content", "url", "timestamp")
 
 
-def items(rows: DataFrame, platform: str) -> DataFrame:
-    """Posts in the shape of social items; all other columns go to ``metadata`` as JSON."""
+def items(rows: DataFrame, platform: str | None = None) -> DataFrame:
+    """Posts in the shape of social items, of one platform or by their column; all other columns go to ``metadata`` as JSON."""
     rest = [c for c in rows.columns if c not in ITEM]
+    kind = F.col("platform") if platform is None else F.lit(platform)
     have = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
-    return rows.select(F.lit(platform).alias("platform"), *[have(c).alias(c) for c in ITEM[1:]], (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("metadata"))
+    return rows.select(kind.alias("platform"), *[have(c).alias(c) for c in ITEM[1:]], (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("metadata"))
 
 
 def envelopes(found: DataFrame, query: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import new_folder
+
 LATE = "1 hour"
 
 
@@ -139,8 +141,19 @@ def fresh_cache(entries: DataFrame, key: str, ttl_seconds: int, late: str = "0 s
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming ``stream`` over all that its source has now and give the result as a table (memory sink: for results, not for bulk)."""
+    """Run a streaming ``stream`` over all that its source has now and give the result as a table in the shared folder.
+
+    Each batch is a folder of Parquet that a repeated batch writes again, so a lost
+    driver or executor neither loses nor doubles a row.  In mode ``complete`` the last
+    batch is the result, else all of them.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = f"{new_folder(spark)}-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    # a source without a file starts no batch
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows") if query.lastProgress else spark.createDataFrame([], stream.schema)
