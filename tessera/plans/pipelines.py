@@ -52,7 +52,7 @@ def search(streams: list[DataFrame], query: str, now: Column, k: int = 10, extra
 
 def semantic_rerank(rows: DataFrame, query: str, vector_rank: DataFrame | None = None, cross_encoder: Column | None = None, top: int = 20, collapse: bool = True) -> DataFrame:
     """BM25F ranks, with vector ranks (pos, rank) if given, fused; a model score reorders the first ``top``; near-duplicates collapse."""
-    scored = rows.select("pos").join(bm25f.scores(rows, query), "pos", "left").select("pos", F.coalesce("bm25f", F.lit(0.0)).alias("bm25f"))
+    scored = rows.select("pos").join(bm25f.scores(rows, query), "pos", "left").select("pos", F.round(F.coalesce("bm25f", F.lit(0.0)), 9).alias("bm25f"))  # sums differ in their last digits with the order of arrival: equal texts have to tie
     lexical = ranking.with_rank(scored, "bm25f")
     fused = ranking.fuse(*([lexical] if vector_rank is None else [lexical, vector_rank]))
     ordered = rows.join(ranking.with_rank(fused, "rrf").select("pos", F.col("rank").alias("semantic_rank"), F.round("rrf", 6).alias("semantic_score")), "pos")

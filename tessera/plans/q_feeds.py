@@ -119,7 +119,18 @@ def similar_titles(spark, d):
     return dedup.similar_title_pairs(once, "k", "pos", 0.6)
 
 
-@query("deduplicated_entries")
+@query(
+    "deduplicated_entries",
+    rf"""WITH RECURSIVE {_ENTRY}, h AS (SELECT *, row_number() OVER (PARTITION BY sha256('|' || lower(trim(url)) || '|' || lower(trim(coalesce(title, '')))) ORDER BY pos) AS k FROM ent),
+t AS (SELECT pos, trim(regexp_replace(regexp_replace(lower(trim(coalesce(title, ''))), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM h WHERE k = 1),
+u AS (SELECT pos, key, list_distinct(string_split(key, ' ')) AS ws, row_number() OVER (PARTITION BY key ORDER BY pos) AS k FROM t WHERE key <> ''),
+w AS (SELECT pos, len(ws) AS n, unnest(ws) AS word FROM u WHERE k = 1),
+p AS (SELECT a.pos AS earlier, b.pos AS later FROM w a JOIN w b ON a.word = b.word AND a.pos < b.pos GROUP BY a.pos, b.pos, a.n, b.n HAVING count(*) > 0.9 * (a.n + b.n - count(*))),
+o AS (SELECT later, list(earlier) AS es, row_number() OVER (ORDER BY later) AS k FROM p GROUP BY later),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT r.k + 1, CASE WHEN len(list_filter(es, lambda e: NOT list_contains(gone, e))) > 0 THEN list_append(gone, later) ELSE gone END FROM r JOIN o ON o.k = r.k + 1),
+g AS (SELECT gone FROM r ORDER BY k DESC LIMIT 1)
+SELECT pos FROM u WHERE k = 1 AND NOT list_contains((SELECT gone FROM g), pos) UNION ALL SELECT pos FROM t WHERE key = ''""",
+)
 def deduplicated_entries(spark, d):
     return dedup.entries(entries(spark, d)).select("pos")
 
@@ -165,9 +176,19 @@ def url_variants(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(urls.variants(F.col("url"))).alias("v")).select("page_id", "v.rung", "v.url")
 
 
-@query("resolved_urls")
+_WRAPPED = (
+    "'https://news.google.com/rss/articles/' || page_id", "'https://www.msn.com/en-us/x?url=https%3A%2F%2Fpub.example%2Fa%2F' || page_id || '&k=1'", "'https://news.google.com/c/' || page_id", "url", "'https://www.msn.com/o/' || page_id",
+)
+_HEADS = ("''", "''", "'<link rel=\"canonical\" href=\"https://canon.example/' || page_id || '\">'", "''", "'<meta property=\"og:url\" content=\"https://og.example/' || page_id || '\">'")
+
+
+@query(
+    "resolved_urls",
+    f"""SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'https://pub.example/a/' || page_id WHEN 2 THEN 'https://canon.example/' || page_id WHEN 4 THEN 'https://og.example/' || page_id END AS publisher_url, CASE WHEN page_id % 5 = 3 THEN 1.0 ELSE 0.25 END AS multiplier FROM pages""",
+)
 def resolved_urls(spark, d):
-    p = table(spark, d, "pages")
+    pick = lambda values: F.element_at(F.array(*[F.expr(v) for v in values]), (F.col("page_id") % 5 + 1).cast("int"))
+    p = table(spark, d, "pages").select("page_id", pick(_WRAPPED).alias("url"), F.concat(F.lit("<html><head>"), pick(_HEADS), F.lit("</head></html>")).alias("html"))
     return p.select("page_id", urls.resolve(F.col("url"), F.col("html")).alias("publisher_url"), urls.ranking_multiplier(F.col("url"), F.lit(False)).alias("multiplier"))
 
 
@@ -188,9 +209,20 @@ def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(html.strip_tags(F.col("html")), 256).alias("text_sha256"))
 
 
-@query("page_descriptions", "SELECT page_id, '' AS description FROM pages")
+@query(
+    "page_descriptions",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'About ' || page_id || ' & more' WHEN 1 THEN 'Open ' || page_id WHEN 2 THEN 'Short ' || page_id ELSE '' END AS description FROM pages""",
+)
 def page_descriptions(spark, d):
-    return table(spark, d, "pages").select("page_id", html.meta_description(F.col("html")).alias("description"))
+    k = F.col("page_id").cast("string")
+    tags = F.element_at(
+        F.array(
+            F.concat(F.lit('<meta name="description" content="About '), k, F.lit(' &amp; more"><meta property="og:description" content="no">')), F.concat(F.lit("<META property='og:description' content='Open "), k, F.lit("'>")),
+            F.concat(F.lit('<meta name="twitter:description" content=" Short '), k, F.lit(' ">')), F.lit('<meta name="keywords" content="none">'),
+        ),
+        (F.col("page_id") % 4 + 1).cast("int"),
+    )
+    return table(spark, d, "pages").select("page_id", html.meta_description(F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), tags))).alias("description"))
 
 
 @query("page_links", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1)) AS link FROM pages) SELECT DISTINCT page_id, link FROM l""")
@@ -203,9 +235,23 @@ def page_content(spark, d):
     return table(spark, d, "pages").select("page_id", html.extract_content(F.col("html")).alias("c")).select("page_id", F.length("c.text").alias("n_chars"), "c.confidence")
 
 
-@query("unescaped_nfkc")
+@query("unescaped_nfkc", """SELECT doc_id, sha256('a & <b> fi 1⁄2 é 2 ' || text) AS text_sha256 FROM documents""")
 def unescaped_nfkc(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2(html.unescape_nfkc(html.strip_tags(F.col("html"))), 256).alias("text_sha256"))
+    odd = F.concat(F.lit("a &amp; &lt;b&gt; ﬁ ½ e\u0301 ² "), "text")
+    return table(spark, d, "documents").select("doc_id", F.sha2(html.unescape_nfkc(odd), 256).alias("text_sha256"))
+
+
+@query(
+    "parsed_feeds",
+    r"""SELECT conv_id, CAST(turn AS BIGINT) AS turn, 'https://example.org/' || turn AS url, trim(regexp_replace(substring(text, 1, 80), '\s+', ' ', 'g')) AS title, '2024-03-' || lpad(CAST(1 + turn % 28 AS VARCHAR), 2, '0') || 'T10:00:00+00:00' AS published FROM conversations""",
+)
+def parsed_feeds(spark, d):
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    day = F.date_format(F.make_date(F.lit(2024), F.lit(3), (1 + F.col("turn") % 28).cast("int")), "EEE, dd MMM yyyy")
+    item = F.concat(F.lit("<item><title>"), esc(F.substring("text", 1, 80)), F.lit("</title><link>https://example.org/"), F.col("turn").cast("string"), F.lit("</link><pubDate>"), day, F.lit(" 10:00:00 GMT</pubDate></item>"))
+    xml = table(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml"))
+    parsed = feeds.normalize(feeds.parse(xml.withColumnRenamed("conv_id", "feed_url")))
+    return parsed.select(F.col("feed_url").cast("long").alias("conv_id"), F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("turn"), "url", "title", "published")
 
 
 @query("parsed_feeds", """WITH c AS (SELECT conv_id, count(*) AS entries FROM conversations GROUP BY conv_id) SELECT conv_id, entries FROM c""")

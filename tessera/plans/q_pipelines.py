@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import payloads
-from . import pipelines
-from .common import CAND, QUERY, candidates, now, query, table
-from .q_rank import RECENCY, bm25f_sql, quality_sql
+from . import pipelines, sql
+from .common import CAND, QUERY, candidates, host_sql, now, query, table
+from .q_rank import RECENCY, _freshness_sql, authority_sql, bm25f_sql, quality_sql
 
 @query("web_search_snippets", f"""WITH {CAND}, {bm25f_sql(QUERY, ('title', 'snippet', 'url'))},
 ini AS (SELECT cand.*, coalesce(bm25f, 0) * (0.8 + 0.2 * {quality_sql('source')}) * (1 + 0.2 * {RECENCY}) AS s FROM cand LEFT JOIN scored ON key = pos)
@@ -23,12 +23,33 @@ def web_search_content(spark, d):
     return pipelines.search([rows], QUERY, now(), with_content=True).select("pos", "title", "word_count", F.round("content_quality_score", 4).alias("content_quality_score"))
 
 
-@query("semantic_rerank")
+_RERANKED = """{rows_sql},
+ord AS (SELECT r.*, row_number() OVER (ORDER BY round(coalesce(bm25f, 0), 9) DESC, pos) AS semantic_rank FROM {rows} r LEFT JOIN scored ON key = pos),
+{clusters},
+oth AS (SELECT cluster, string_agg(url, ' ' ORDER BY semantic_rank) AS duplicates FROM cluster_of c JOIN ord ON c.pos = semantic_rank WHERE semantic_rank <> cluster AND url <> '' GROUP BY cluster),
+kept AS (SELECT ord.*, 1.0 / (60 + semantic_rank) AS exact_score, round(1.0 / (60 + semantic_rank), 6) AS semantic_score, coalesce(duplicates, '') AS duplicates FROM cluster_of c JOIN ord ON c.pos = semantic_rank LEFT JOIN oth USING (cluster) WHERE semantic_rank = cluster)"""
+
+
+@query(
+    "semantic_rerank",
+    f"WITH RECURSIVE {CAND}, {_RERANKED.format(rows='cand', rows_sql=bm25f_sql(QUERY), clusters=sql.near_duplicates('ord', 'semantic_rank'))} SELECT pos, CAST(semantic_rank AS INTEGER) AS semantic_rank, CAST(semantic_score AS DOUBLE) AS semantic_score, duplicates FROM kept",
+)
 def semantic_rerank(spark, d):
-    return pipelines.semantic_rerank(candidates(spark, d), QUERY).select("pos", "semantic_rank", "semantic_score", "duplicates")
+    return pipelines.semantic_rerank(candidates(spark, d), QUERY).select("pos", "semantic_rank", "semantic_score", F.array_join("duplicates", " ").alias("duplicates"))
+
+
+_MERGED = f"""{CAND}, own AS (SELECT pos + (SELECT max(pos) + 1 FROM cand) AS pos, title, snippet, '' AS content, 'https://openalex.org/' || pos AS url, 'academic' AS content_type, publish_date, 0.7 AS authority_score FROM cand),
+uni AS (SELECT pos, title, snippet, content, url, content_type, publish_date, 0.0 AS authority_score FROM cand UNION ALL SELECT * FROM own),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS k FROM uni) WHERE k = 1)"""
 
 
-@query("merged_and_ranked")
+@query(
+    "merged_and_ranked",
+    f"""WITH RECURSIVE {_MERGED}, {_RERANKED.format(rows='once', rows_sql=bm25f_sql(QUERY, source='once'), clusters=sql.near_duplicates('ord', 'semantic_rank'))},
+lim AS (SELECT min(semantic_score) AS low, max(semantic_score) AS high FROM kept),
+fin AS (SELECT pos, url, 0.40 * CASE WHEN high - low < 1e-9 THEN 0.5 ELSE (semantic_score - low) / (high - low) END + 0.25 * greatest(authority_score, {authority_sql(host_sql('url'))}) + 0.15 * {_freshness_sql()} + 0.20 AS composite_score FROM kept CROSS JOIN lim)
+SELECT pos, url, round(CAST(composite_score AS DOUBLE), 6) AS composite_score FROM fin ORDER BY composite_score DESC, pos LIMIT 20""",
+)
 def merged_and_ranked(spark, d):
     rows = candidates(spark, d)
     own = rows.select("pos", F.lit("openalex").alias("source"), F.concat(F.lit("https://openalex.org/"), F.col("pos").cast("string")).alias("url"), "title", "snippet", F.lit("academic").alias("content_type"), F.col("publish_date").alias("timestamp"), F.lit(0.7).alias("authority_score"))
@@ -41,9 +62,15 @@ def source_search_fallback(spark, d):
     return pipelines.source_search(QUERY, rows, now(), semantic=False).select("pos")
 
 
-@query("media_search")
+@query(
+    "media_search",
+    f"""WITH {CAND}, fit AS (SELECT *, 'https://img.example.org/' || (pos % 97) AS image_url FROM cand WHERE pos * 37 % 2000 >= 300), {bm25f_sql(QUERY, ('title', 'snippet', 'url'), 'fit')},
+ini AS (SELECT fit.*, coalesce(bm25f, 0) * (0.8 + 0.2 * {quality_sql('source')}) * (1 + 0.2 * {RECENCY}) AS s FROM fit LEFT JOIN scored ON key = pos ORDER BY s DESC, pos LIMIT 60),
+once AS (SELECT *, row_number() OVER (PARTITION BY image_url ORDER BY s DESC, pos) AS k FROM ini)
+SELECT CAST(row_number() OVER (ORDER BY s DESC, pos) AS INTEGER) AS position, pos, image_url FROM once WHERE k = 1 ORDER BY position LIMIT 20""",
+)
 def media_search(spark, d):
-    rows = candidates(spark, d).withColumn("width", (F.col("pos") % 2000).cast("int")).withColumn("image_url", F.concat(F.lit("https://img.example.org/"), (F.col("pos") % 97).cast("string")))
+    rows = candidates(spark, d).withColumn("width", (F.col("pos") * 37 % 2000).cast("int")).withColumn("image_url", F.concat(F.lit("https://img.example.org/"), (F.col("pos") % 97).cast("string")))
     return pipelines.media_search(rows, QUERY, now(), "image_url", min_width=300).select("position", "pos", "image_url")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, query as P
 from ..operators import bm25f, dedup, ranking, vectors
+from . import sql
 from .common import AGE, CAND, OPERATORS, QUERY, candidates, count_sql, duck_stem, host_sql, now, query, table, tokens_sql, words_sql
 
 _W = bm25f.Settings()
@@ -210,9 +211,18 @@ def chunk_index(spark, d):
     return vectors.chunk_index(candidates(spark, d), "pos").select("id", "pos", "chunk_idx", "content_hash")
 
 
-@query("hybrid_search")
+@query(
+    "hybrid_search",
+    f"""WITH {CAND}, qv AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 1),
+near AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS similarity FROM embeddings CROSS JOIN qv ORDER BY 2 DESC, 1 LIMIT 30),
+found AS (SELECT pos, title, content AS snippet, content, url, similarity FROM cand JOIN near ON pos = vec_id), {bm25f_sql(QUERY, source='found')},
+ranks AS (SELECT pos, row_number() OVER (ORDER BY coalesce(bm25f, 0) DESC, pos) AS rank FROM found LEFT JOIN scored ON key = pos UNION ALL SELECT pos, row_number() OVER (ORDER BY similarity DESC, pos) FROM found),
+fused AS (SELECT pos, sum(1.0 / (60 + rank)) AS rrf FROM ranks GROUP BY pos ORDER BY rrf DESC, pos LIMIT 10),
+once AS (SELECT pos AS vec_id, url, rrf, row_number() OVER (PARTITION BY url ORDER BY rrf DESC, pos) AS k FROM fused JOIN found USING (pos))
+SELECT vec_id, url, round(CAST(rrf AS DOUBLE), 6) AS rrf FROM once WHERE k = 1""",
+)
 def hybrid_search(spark, d):
-    docs = candidates(spark, d).select(F.col("pos").alias("vec_id"), "title", "url", F.col("snippet").alias("text"))
+    docs = candidates(spark, d).select(F.col("pos").alias("vec_id"), "title", "url", F.col("content").alias("text"))
     rows = table(spark, d, "embeddings")
     vector = rows.where("vec_id = 1").select("embedding").first()["embedding"]
     return vectors.hybrid(docs, rows, QUERY, vector).select("vec_id", "url", F.round("rrf", 6).alias("rrf"))
@@ -235,13 +245,15 @@ def min_max_by_source(spark, d):
     return ranking.min_max(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "n_chars", "scaled", "source").select("doc_id", F.round("scaled", 6).alias("scaled"))
 
 
-@query("near_duplicate_clusters")
+@query("near_duplicate_clusters", f"WITH RECURSIVE {CAND}, {sql.near_duplicates('cand', 'pos')} SELECT pos, cluster FROM cluster_of")
 def near_duplicate_clusters(spark, d):
     return dedup.clusters(candidates(spark, d)).select("pos", "cluster")
 
 
-@query("near_duplicate_survivors")
+@query(
+    "near_duplicate_survivors",
+    f"WITH RECURSIVE {CAND}, {sql.near_duplicates('cand', 'pos')}, o AS (SELECT cluster, string_agg(url, ' ' ORDER BY pos) AS duplicates FROM cluster_of JOIN cand USING (pos) WHERE pos <> cluster GROUP BY cluster) "
+    "SELECT pos, coalesce(duplicates, '') AS duplicates FROM cluster_of LEFT JOIN o USING (cluster) WHERE pos = cluster",
+)
 def near_duplicate_survivors(spark, d):
-    return dedup.collapse(candidates(spark, d)).select("pos", "duplicates")
-
-
+    return dedup.collapse(candidates(spark, d)).select("pos", F.array_join("duplicates", " ").alias("duplicates"))

@@ -10,7 +10,7 @@ from ..operators import diff, graph, state
 from ..sources import plugins, sinks
 from ..streaming import jobs
 from . import responses
-from .common import query, table
+from .common import ORACLES, query, table
 
 _TIERS = ("requests", "browser", "requests", "mirror", "browser")
 _LOG = "log AS (SELECT event_id, ts, 'd' || (user_id % 40) || '.example.org' AS domain, (['requests', 'browser', 'requests', 'mirror', 'browser'])[user_id % 5 + 1] AS arm, CASE WHEN event_id % 3 = 0 THEN 'browser' ELSE 'requests' END AS tier, (event_type <> 'error' AND (event_id + user_id) % 4 <> 0) AS success, value AS latency_ms FROM events)"
@@ -77,9 +77,10 @@ def domain_strategies(spark, d):
     return state.strategies(outcome_log(spark, d)).drop("confidence")
 
 
-@query("strategy_summary")
+@query("strategy_summary", ORACLES["domain_strategies"].replace("SELECT domain, requests_attempts", ", s AS (SELECT domain, requests_attempts", 1) + """), k AS (SELECT strategy, domain, row_number() OVER (PARTITION BY strategy ORDER BY domain) AS k FROM s)
+SELECT strategy, count(*) AS domains, string_agg(domain, ' ' ORDER BY domain) FILTER (WHERE k <= 10) AS sample FROM k GROUP BY strategy""")
 def strategy_summary(spark, d):
-    return state.strategy_summary(state.strategies(outcome_log(spark, d)))
+    return state.strategy_summary(state.strategies(outcome_log(spark, d))).withColumn("sample", F.array_join("sample", " "))
 
 
 @query("browser_skips", f"""WITH {_LOG}, c AS (SELECT domain, count(*) FILTER (WHERE tier = 'requests') AS ra, count(*) FILTER (WHERE tier = 'requests' AND success) AS rs, count(*) FILTER (WHERE tier <> 'requests') AS ba, count(*) FILTER (WHERE tier <> 'requests' AND success) AS bs FROM log GROUP BY domain)
@@ -147,7 +148,8 @@ def bfs_depth3(spark, d):
     return graph.bfs(_edges(spark, d), spark.createDataFrame([(1,)], "node long"), 3)
 
 
-@query("bfs_multi_seed")
+@query("bfs_multi_seed", f"""WITH RECURSIVE {_EDGES.replace('(1), (2), (3)', '(1), (2)')}, r AS (SELECT CAST(unnest([1, 50]) AS BIGINT) AS node, 0 AS depth UNION SELECT CAST(target AS BIGINT), depth + 1 FROM r JOIN edges ON source = node WHERE depth < 2)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
 def bfs_multi_seed(spark, d):
     return graph.bfs(_edges(spark, d), spark.createDataFrame([(1,), (50,)], "node long"), 2, fanout=2)
 
@@ -223,9 +225,11 @@ def merged_engines(spark, d):
     return plugins.merge_engines(one.unionByName(two).unionByName(three)).select("engine_ord", "pos")
 
 
-@query("wrapped_lines")
+@query("wrapped_lines", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text || chr(10), '(?s)(.{1,500}\s|\S{500})\s*', 1), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> '') AS ls FROM documents)
+SELECT doc_id, CAST(len(ls) AS INTEGER) AS n_lines, sha256(regexp_replace(array_to_string(ls, ''), '\s', '', 'g')) AS letters_sha256 FROM l""")
 def wrapped_lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(sinks.wrap_lines(F.col("text"))).alias("n_lines"))
+    lines = sinks.wrap_lines(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.sha2(F.regexp_replace(F.array_join(lines, ""), r"\s", ""), 256).alias("letters_sha256"))
 
 
 # --------------------------------------------------------------------- streams

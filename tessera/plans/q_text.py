@@ -8,7 +8,8 @@ from ..functions import structure as S
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import quality as Q
-from .common import candidates, duck_stem, query, table, tokens_sql, words_sql
+from . import sql
+from .common import CAND, candidates, duck_stem, query, table, tokens_sql, words_sql
 
 
 @query(
@@ -120,10 +121,16 @@ def clean_noisy_text(spark, d):
     return rows.select("doc_id", F.length("t").alias("cleaned_chars"), F.sha2("t", 256).alias("cleaned_sha256"))
 
 
-@query("paragraph_statistics")
+@query("paragraph_statistics", f"WITH RECURSIVE {sql.PARAGRAPHS} SELECT d.doc_id, CAST(count(p) AS INTEGER) AS paragraphs, CAST(coalesce(max(length(p)), 0) AS INTEGER) AS longest, sha256(coalesce(string_agg(p, chr(10) ORDER BY n), '')) AS paragraphs_sha256 FROM documents d LEFT JOIN paragraphs USING (doc_id) GROUP BY d.doc_id")
 def paragraph_statistics(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(S.paragraphs(F.col("text")))).alias("ps"))
-    return rows.select("doc_id", F.size("ps").alias("paragraphs"), F.coalesce(F.array_max(F.transform("ps", F.length)), F.lit(0)).alias("longest"))
+    return rows.select("doc_id", F.size("ps").alias("paragraphs"), F.coalesce(F.array_max(F.transform("ps", F.length)), F.lit(0)).alias("longest"), F.sha2(F.array_join("ps", "\n"), 256).alias("paragraphs_sha256"))
+
+
+@query("navigation_lines", f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), x AS (SELECT doc_id, n, {sql.strip('raw')} AS x FROM l) SELECT doc_id, CAST(n AS INTEGER) AS n, {sql.navigation('x')} AS navigation FROM x")
+def navigation_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    return lines.select("doc_id", "n", S.is_navigation(T.strip(F.col("raw"))).alias("navigation"))
 
 
 @query("sentence_split", f"WITH s AS (SELECT doc_id, {_SENTENCES.format('text')} AS ss FROM documents) SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS n, unnest(ss) AS sentence FROM s")
@@ -184,17 +191,40 @@ def extraction_confidence(spark, d):
     return rows.select("doc_id", "method", F.round(Q.confidence(F.col("text"), F.col("method")), 6).alias("confidence"))
 
 
-@query("document_sections")
+@query("document_sections", f"WITH {sql.SECTIONS} SELECT doc_id, section, CAST(len(lines) AS INTEGER) AS n_lines, sha256(array_to_string(lines, chr(10))) AS lines_sha256 FROM sections")
 def document_sections(spark, d):
-    return D.sections(table(spark, d, "documents"), "doc_id", "text")
+    return D.sections(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "section", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256"))
+
 
+_URL_TYPE = "CASE " + " ".join(
+    f"WHEN regexp_matches(lower(url), '{marks}') THEN '{name}'"
+    for name, marks in (
+        ("encyclopedia", r"wikipedia\.org|wiki\."), ("official_docs", r"docs\.python\.org|documentation"), ("tutorial", "tutorial|course|learn"), ("blog", r"blog|medium\.com|dev\.to"),
+        ("qna", r"stackoverflow\.com|stackexchange\.com"), ("code_repository", r"github\.com|gitlab\.com"), ("research_paper", r"research|arxiv\.org|academic"), ("news_article", "news|article|press"),
+    )
+) + " ELSE 'unknown' END"
 
-@query("structured_documents")
+
+@query(
+    "structured_documents",
+    f"""WITH {CAND}, {_CLEAN.replace('{0}', '(SELECT pos AS doc_id, content AS text FROM cand)')} SELECT pos, {_URL_TYPE} AS content_type, CAST({words_sql('t')} AS INTEGER) AS word_count, CAST(len({_SENTENCES.format('t')}) AS INTEGER) AS sentences_count,
+ sha256(t) AS cleaned_sha256 FROM cand JOIN cleaned ON doc_id = pos""",
+)
 def structured_documents(spark, d):
-    return D.structured(candidates(spark, d), "pos", "content", "url")
+    return D.structured(candidates(spark, d), "pos", "content", "url").select("pos", "content_type", "word_count", "sentences_count", F.sha2("cleaned_content", 256).alias("cleaned_sha256"))
+
+
+@query("structured_quality")
+def structured_quality(spark, d):
+    return D.structured(candidates(spark, d), "pos", "content", "url").select("pos", "paragraph_count", F.size("content_sections").alias("sections"), F.sha2("first_paragraph", 256).alias("first_sha256"), "content_quality_score")
 
 
-@query("deduplicated_sentences")
+@query(
+    "deduplicated_sentences",
+    r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents),
+e AS (SELECT doc_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g')) ORDER BY i) AS turn FROM e),
+j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM k WHERE turn = 1 GROUP BY doc_id) SELECT doc_id, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN j USING (doc_id)""",
+)
 def deduplicated_sentences(spark, d):
     from ..operators.dedup import dedupe_sentences
 
