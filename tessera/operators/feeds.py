@@ -86,6 +86,39 @@ def category(name: Column) -> Column:
     return F.coalesce(F.create_map(*[x for k, v in CATEGORY_ALIASES.items() for x in (F.lit(k), F.lit(v))])[n], n)
 
 
+# The feed tags that words and phrases of a query stand for.
+TAGS = {
+    "gallery": "gallery", "art": "digitalart traditional painting", "digital art": "digitalart", "digital": "digitalart", "digitalart": "digitalart", "painting": "painting traditional",
+    "drawing": "drawing traditional", "drawings": "drawing traditional", "illustration": "illustration", "concept art": "conceptart characterdesign", "concept": "conceptart",
+    "character design": "characterdesign", "original character": "originalcharacter characterdesign", "oc": "originalcharacter", "portrait": "portraits", "portraits": "portraits",
+    "abstract": "abstract abstractart", "neon": "neon", "graphic design": "graphicdesign", "procreate": "procreate", "ipad art": "ipadart", "ipad": "ipadart", "firealpaca": "firealpaca",
+    "3d art": "3d", "3d": "3d", "science fiction": "scifi", "scifi": "scifi", "sci-fi": "scifi", "superheroes": "superheroes", "superhero": "superheroes", "comics": "comics", "comic": "comics",
+    "game art": "gameart", "video game": "videogamefanart gameart", "videogame": "videogamefanart gameart", "fantasy": "fantasy magicrealms", "fantasy art": "fantasy",
+    "magic": "magicrealms magicalgirls", "magic realms": "magicrealms", "magical girl": "magicalgirls", "magical girls": "magicalgirls", "anime": "anime animemanga",
+    "anime and manga": "animemanga", "manga": "manga animemanga", "animegirls": "animegirls anime", "anime girls": "animegirls anime", "cute": "cute kawaii", "kawaii": "kawaii",
+    "cute and kawaii": "cute kawaii", "disney": "disney", "netflix": "netflix", "witches": "witches", "witch": "witches", "creatures": "creatures", "creature": "creatures",
+    "space": "space skyscapes", "skyscapes": "skyscapes", "skyscape": "skyscapes", "fategrandorder": "fategrandorder", "fate grand order": "fategrandorder", "fgo": "fategrandorder",
+    "dnd": "dnd rpg", "dungeons and dragons": "dnd rpg", "dungeons": "dnd rpg", "dragons": "dnd fantasy", "dragon": "dnd fantasy", "elves": "elves", "elf": "elves", "elves (elf)": "elves",
+    "swords": "swords", "sword": "swords", "fighters": "fighters", "fighter": "fighters", "assassins": "assassins", "assassin": "assassins", "rpg": "rpg dnd",
+    "character concept": "characterconcept conceptart", "fantasy characters": "fantasycharacters fantasy", "reference sheet": "referencesheet", "warrior cats": "warriorcats",
+    "warrior": "warriorcats fighters", "scp": "scpfoundation", "scp foundation": "scpfoundation", "adoptables": "adoptables", "adoptable": "adoptables",
+    "adoptable auctions": "adoptableauctions", "open adoptables": "adoptables", "closed species": "closedspecies", "fursona": "fursona", "photography": "photography", "photo": "photography",
+    "nature photography": "naturephotography photography", "nature": "naturephotography photography", "cosplay": "cosplay", "fan art": "fanart", "fanart": "fanart", "fan": "fanart",
+}
+TAG_FEED = "https://backend.deviantart.com/rss.xml?q=%s&type=deviation"
+
+
+def tag_feeds(query: Column) -> Column:
+    """URLs of the tag feeds for a query: those of its known words, longer phrases first, else one of the whole query; none for an empty one."""
+    low = F.lower(F.trim(F.coalesce(query, F.lit(""))))
+    padded = F.concat(F.lit(" "), low, F.lit(" "))
+    known = [F.when(padded.contains(f" {word} "), F.array(*[F.lit(t) for t in TAGS[word].split()])).otherwise(F.array().cast("array<string>")) for word in sorted(TAGS, key=len, reverse=True)]
+    tags = F.array_distinct(F.concat(*known))
+    own = F.array(F.replace(low, F.lit(" "), F.lit("")))
+    chosen = F.when(low == "", F.array().cast("array<string>")).when(F.size(tags) > 0, tags).otherwise(own)
+    return F.transform(chosen, lambda t: F.format_string(TAG_FEED, F.url_encode(t)))
+
+
 # ------------------------------------------------------------------- filters
 def by_date(rows: DataFrame, ts: Column, now: Column | None = None, days: float | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Within the last ``days`` and from ``start`` to ``end`` inclusive; undated rows go."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_feeds, q_pipelines, q_rank, q_state, q_text  # noqa: F401  (they register)
+from . import q_feeds, q_payloads, q_pipelines, q_rank, q_state, q_text  # noqa: F401  (they register)
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

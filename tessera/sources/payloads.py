@@ -121,6 +121,39 @@ def telegram_posts(pages: DataFrame, html: str = "html", *keep: str) -> DataFram
     return first_wins(rows, F.col("id"), *keep, "n")
 
 
+# What a public page of a channel that does not exist says, and the classes that show that it does.
+NOT_FOUND = ("if you have <strong>telegram</strong>", "channel not found", "no posts")
+FOUND_CLASSES = ("tgme_widget_message_wrap", "tgme_channel_info_header_title")
+
+
+def looks_not_found(html: Column) -> Column:
+    """A page that was delivered, but of no channel: neither posts nor a title, and a mark that says so."""
+    page = F.coalesce(html, F.lit(""))
+    classes = "|".join(rf"class=[\"'][^\"']*\b{c}\b" for c in FOUND_CLASSES)
+    return ~page.rlike(classes) & F.lower(page).rlike("|".join(NOT_FOUND))
+
+
+# What each platform can be asked by, and the order in which the ways are tried; a query is the fallback.
+CAPABILITIES = {"discord": ("channel_id", "query"), "instagram": ("query", "profile"), "reddit": ("query", "subreddit", "user"), "telegram": ("query", "channel")}
+CAPABILITY_ORDER = ("channel", "channel_id", "subreddit", "profile", "user")
+
+
+def chosen_capability(requests: DataFrame, platform: str = "platform", capabilities: dict[str, tuple[str, ...]] = CAPABILITIES) -> DataFrame:
+    """``requests`` (platform and some of query, channel, channel_id, subreddit, profile, user), ``capability`` and ``error``.
+
+    The first way that a platform supports and that has a value is taken, else its
+    query; 'no_input' without either, 'unsupported_capability' where a platform has
+    no query, 'unknown_platform' where there is no such platform.
+    """
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != "" if c in requests.columns else F.lit(False)
+    chosen, error = F, F
+    for name, ways in sorted(capabilities.items()):
+        own = F.coalesce(*[F.when(given(c), F.lit(c)) for c in CAPABILITY_ORDER if c in ways], F.when(given("query") & F.lit("query" in ways), F.lit("query")))
+        chosen = chosen.when(F.col(platform) == name, own)
+        error = error.when(F.col(platform) == name, F.lit("no_input" if "query" in ways else "unsupported_capability"))
+    return requests.withColumn("capability", chosen).withColumn("error", F.when(F.col("capability").isNull(), error.otherwise("unknown_platform")))
+
+
 def channel_name(text: Column) -> Column:
     """Channel of a link, an @name or a bare name."""
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(text), r"^(?:https?://)?(?:www\.)?(?:t\.me|telegram\.me)/(?:s/)?", ""), r"^@|[/?].*$", ""))
