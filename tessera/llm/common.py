@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, new_folder, stored
+
+__all__ = ["ARROW_ROWS", "WORD_REGEX", "bound_arrow", "bucketed", "cut", "free_name", "let", "new_folder", "read", "stored", "text_or_empty"]
+
 #: The ASCII white space that separates words in every contract of this package.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch; texts may be long, so batches stay small.
@@ -27,41 +29,13 @@ def bound_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for what is written between steps, which driver and executors share.
-
-    It is the one that ``spark.checkpoint.dir`` names; one of our own only in local mode.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", "")
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
-            shared = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        context.setCheckpointDir(shared)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the copy."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, its columns are read one by one and its size is known to the planner."""
-    folder = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def bucketed(df: DataFrame, column: str) -> DataFrame:
     """``df`` as a table in the shared folder, dealt by ``column`` as an exchange would, so that joins on it need none."""
     spark = df.sparkSession
-    name = f"tessera_{uuid.uuid4().hex}"
+    folder = new_folder(spark)
+    name = folder.rsplit("/", 1)[1].replace("-", "_")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").bucketBy(parts, column).saveAsTable(name)
+    df.write.option("path", folder).bucketBy(parts, column).saveAsTable(name)
     return spark.table(name)
 
 

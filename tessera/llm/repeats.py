@@ -8,21 +8,27 @@ row for each position:
    one with the least hash of the tokens there is an anchor.  The choice looks at
    the window alone, so equal windows have equal anchors, about one for
    ``slack`` / 2 positions.  An anchor's key is the hash of the ``width - slack``
-   tokens from it on, all inside the window.  Only keys met twice go on; they are
-   counted by partial aggregation and joined back.
+   tokens from it on, all inside the window.  Anchors are written once; keys met
+   twice are counted from there by partial aggregation, written and joined back.
 2. *Contexts.*  Each such anchor brings up to ``slack`` tokens from either side of
    its key.  Two occurrences share a window if and only if the tokens they share
    to the left and to the right number at least ``slack``.
 3. *Groups.*  The anchors of one key meet and an index of their right contexts (a
    suffix array or a suffix tree, the operators differ in this) yields groups
    with a common right extension, deepest first; in each the left contexts tell
-   how far its members agree.  A key in more than ``most`` texts is split by
-   longer prefixes instead, namely by each whole window around the anchor, and
-   such groups are streamed, not held.
-4. What is covered goes back to the texts, where runs are merged.
-
-Equal texts are one text for all of this (a copy of a text covers it whole), and
-one shuffle of the texts by document serves all steps: Spark reuses the exchange.
+   how far its members agree.
+4. *Large groups.*  A key at more than ``most`` places is split by longer prefixes
+   (``_split``): the windows around an anchor are told apart by how many tokens
+   they take from its left, in ranges that are quartered step by step.  All windows
+   of a range hold the key and what every one of them takes from either side: that
+   is the longer prefix.  Places that share all that a range reaches are covered,
+   and one stands for them.  Prefixes at up to ``most`` such places are groups as
+   in 3, larger ones go on; a range of one window leaves nothing to compare.
+5. What is covered goes back to the texts, where runs are merged.
+
+Equal texts are one text for all of this (a copy of a text covers it whole).  The
+distinct texts are dealt by document once, into a bucketed table that serves all
+steps without another exchange.
 
 Texts are addressed by 128 bits.  Keys are 64-bit hashes, but a chance collision
 of keys covers nothing unless the contexts agree as well.
@@ -33,20 +39,21 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, cut
+from .common import bound_arrow, bucketed, stored
 
 #: Starts handled at once, so that the arrays stay in a core's cache.
 BLOCK = 1 << 15
 _U = np.uint64
 _POSITION_BITS = 20
-#: What a row of the contexts is: an anchor's surroundings, a whole window by its hash, or a cover that its own text settled (its end is the key).
-CONTEXT, WHOLE, COVER = 0, 1, 2
+#: What a row of the contexts is: an anchor's surroundings, or a cover that its own text settled (its end is the key).
+CONTEXT, COVER = 0, 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 #: From the right contexts (and the unit, bytes of a token): groups (common right tokens, members), children before parents.
@@ -66,7 +73,8 @@ class Frame:
     contexts: Callable[[object, np.ndarray], np.ndarray]  # tokens, hashes -> array of the context's units
     join: Callable[[object, list[tuple[int, int]]], bytes]  # tokens, kept runs -> bytes
     index: GroupIndex
-    most: int = 1 << 16
+    #: Places of one key that a task holds at once.
+    most: int = 1 << 13
 
     @property
     def key(self) -> int:
@@ -221,16 +229,17 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
     classes = each.groupBy("address").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.min("cid").alias("cid"))
     classes = classes.withColumn("twin", F.row_number().over(Window.partitionBy("rep").orderBy("cid", "address")) - 1)
     # the distinct texts; the classes are the small side, so texts are never sorted
-    distinct = texts.join(classes.select("rep", "cid", "twin").hint("shuffle_hash"), (F.col("doc_id") == F.col("rep")) & (cid.bitwiseXOR(F.col("cid")) == 0))
+    picked = texts.join(classes.select("rep", "cid", "twin").hint("shuffle_hash"), (F.col("doc_id") == F.col("rep")) & (cid.bitwiseXOR(F.col("cid")) == 0))
+    distinct = bucketed(picked.select("text", "rep", "twin"), "rep")
 
     def fetch(side: DataFrame, *columns: str) -> DataFrame:
         """Distinct texts with what ``side`` (rep, twin, ...) has for them.
 
         The twins meet in a difference and not as a key of the join: the texts
-        stay as they are dealt, by doc_id.
+        stay as they are dealt, by rep.
         """
         named = side.select(F.col("rep").alias("own"), F.col("twin").alias("own_twin"), *columns).hint("shuffle_hash")
-        return distinct.join(named, (F.col("doc_id") == F.col("own")) & (F.col("twin") - F.col("own_twin") == 0)).select("text", "rep", "twin", *columns)
+        return distinct.join(named, (F.col("rep") == F.col("own")) & (F.col("twin") - F.col("own_twin") == 0)).select("text", "rep", "twin", *columns)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,36 +259,29 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
             if keys:
                 yield _pass_columns([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (reps, twins, places)), pa.array(more, pa.binary())], ["key", "rep", "twin", "at", "more"])
 
-    marks = distinct.select("text", "rep", "twin").mapInArrow(find, "key long, rep long, twin int, at long, more binary")
-    twice = marks.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.count("more").alias("again")).where((F.col("texts") > 1) | (F.col("again") > 0))
-    wanted = (
-        marks.join(twice, "key")
-        .repartition("rep")  # one exchange for the lists and for their join with the texts
-        .groupBy("rep", "twin").agg(F.collect_list(F.struct("at", "key", "more", (F.col("texts") > frame.most).alias("hot"))).alias("marks"))
-    )
+    marks = stored(distinct.select("text", "rep", "twin").mapInArrow(find, "key long, rep long, twin int, at long, more binary"))
+    places = F.count(F.lit(1)) + F.coalesce(F.sum(F.octet_length("more")), F.lit(0)) / 8
+    twice = stored(marks.groupBy("key").agg(places.cast("long").alias("places")).where("places > 1"))
+
+    def listed(keys: DataFrame) -> DataFrame:
+        """(rep, twin, marks): each text's anchors with one of ``keys``; one exchange serves the lists and their join with the texts."""
+        return marks.join(keys.select("key"), "key").repartition("rep").groupBy("rep", "twin").agg(F.collect_list(F.struct("at", "key", "more")).alias("marks"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slack, size, unit = frame.slack, frame.key, frame.unit
         names = ["key", "kind", "rep", "twin", "at", "left", "right"]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
-            for text, rep, twin, listed in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("twin").to_pylist(), batch.column("marks"), strict=True):
+            for text, rep, twin, own in zip(batch.column("text"), batch.column("rep").to_pylist(), batch.column("twin").to_pylist(), batch.column("marks"), strict=True):
                 tokens = frame.split(text.as_py())
                 h = frame.hashes(tokens)
                 units = frame.contexts(tokens, h)
                 raw, back = units.tobytes(), units[::-1].tobytes()
-                total, rows, sums = len(h), [], None
+                total, rows = len(h), []
                 met: dict[tuple[int, bytes, bytes], list[int]] = {}
-                for key, at, hot in unpacked(listed.as_py()):
-                    if hot:
-                        sums = _sums(h) if sums is None else sums
-                        first, last = max(0, at - slack), min(at, total - frame.width)
-                        at_all = np.arange(first, last + 1)
-                        whole = _mix(_runs(sums, at_all, frame.width) + _U(1)).view(np.int64)
-                        rows += [(k, WHOLE, rep, twin, s, b"", b"") for k, s in zip(whole.tolist(), at_all.tolist(), strict=True)]
-                    else:
-                        low = total - at
-                        met.setdefault((key, back[low * unit : (low + slack) * unit], raw[(at + size) * unit : (at + size + slack) * unit]), []).append(at)
+                for key, at in unpacked(own.as_py()):
+                    low = total - at
+                    met.setdefault((key, back[low * unit : (low + slack) * unit], raw[(at + size) * unit : (at + size + slack) * unit]), []).append(at)
                 settled = []
                 for (key, left, right), places in met.items():
                     if len(places) > 1 and (len(left) + len(right)) // unit >= slack:
@@ -291,9 +293,16 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
                 for x in range(0, len(rows), 4096):
                     yield _pass_columns([pa.array(c, t) for c, t in zip(zip(*rows[x : x + 4096], strict=True), kinds, strict=True)], names)
 
+    def contexts(keys: DataFrame) -> DataFrame:
+        return fetch(listed(keys), "marks").mapInArrow(surround, "key long, kind int, rep long, twin int, at long, left binary, right binary")
+
+    small, large = F.col("places") <= frame.most, twice.where(F.col("places") > frame.most)
+    groups, known = [contexts(twice.where(small))], []
+    if not large.isEmpty():
+        more_groups, known = _split(stored(contexts(large)), frame)
+        groups += more_groups
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    contexts = fetch(wanted, "marks").mapInArrow(surround, "key long, kind int, rep long, twin int, at long, left binary, right binary")
-    met = contexts.repartition(parts, "key", "kind").sortWithinPartitions("key", "kind", "rep", "twin", "at")
+    met = reduce(DataFrame.unionByName, groups).repartition(parts, "key", "kind").sortWithinPartitions("key", "kind", "rep", "twin", "at")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
@@ -312,34 +321,23 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
             return batch
 
         held: list[tuple] = []
-        last: tuple | None = None  # first row of a streamed group until a second one comes
-        now = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[1] == COVER:
                     out.append((row[2], row[3], row[4], row[0]))
-                elif row[:2] != now:
+                    continue
+                if held and held[0][0] != row[0]:
                     solve(held)
-                    held, last, now = [], None, row[:2]
-                    if row[1] == WHOLE:
-                        last = row
-                    else:
-                        held.append(row)
-                elif row[1] == WHOLE:  # one window, met again; the same place may come from two anchors
-                    if last is not None and last[2:5] != row[2:5]:
-                        out.append((last[2], last[3], last[4], last[4] + frame.width))
-                        last = None
-                    if last is None:
-                        out.append((row[2], row[3], row[4], row[4] + frame.width))
-                else:
-                    held.append(row)
+                    held = []
+                held.append(row)
             if len(out) > 4096:
                 yield flush()
         solve(held)
         if out:
             yield flush()
 
-    spans = met.mapInArrow(compare, "rep long, twin int, start long, end long").groupBy("rep", "twin").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = reduce(DataFrame.unionByName, [met.mapInArrow(compare, "rep long, twin int, start long, end long"), *known])
+    spans = found.groupBy("rep", "twin").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rep", "twin", "tokens", "removed", "spans", "kept_sha256"]
@@ -358,12 +356,70 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
     return classes, results
 
 
-def unpacked(marks: list[dict]) -> Iterator[tuple[int, int, bool]]:
+def _split(rows: DataFrame, frame: Frame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of contexts whose keys stand at too many places: the smaller groups they fall into, and (rep, twin, start, end) of what is covered already.
+
+    A window around an anchor takes x tokens from its left and ``slack`` - x from its
+    right.  For a range of x, what all its windows hold is the longer prefix that
+    places have to share; places that share even what any of its windows holds are
+    covered as far as that goes, and one of them stands for all from there on.
+    """
+    unit, slack, size = frame.unit, frame.slack, frame.key
+    place = ["rep", "twin", "at"]
+
+    def code(*parts: Column) -> Column:
+        return F.unhex(F.md5(F.concat(*parts)))
+
+    def number(*values: Column) -> Column:
+        return F.concat_ws(":", *[v.cast("string") for v in values], F.lit("")).cast("binary")
+
+    def part(column: str, tokens: str) -> Column:
+        return F.expr(f"substring({column}, 1, ({tokens}) * {unit})")
+
+    length = lambda c: (F.octet_length(c) / unit).cast("long")
+    known = [rows.where(F.col("kind") == COVER).select("rep", "twin", F.col("at").alias("start"), F.col("key").alias("end"))]
+    groups: list[DataFrame] = []
+    live, reach = rows.where(F.col("kind") == CONTEXT).select("key", *place, "left", "right", F.lit(0).alias("x")), slack + 1
+    while True:
+        here = live.withColumn("last", F.least(F.col("x") + (reach - 1), F.lit(slack)))
+        some = (length("left") >= F.col("x")) & (length("right") >= slack - F.col("last")) & (length("left") + length("right") >= slack)
+        left, right = part("left", "last"), part("right", f"{slack} - x")
+        coded = here.where(some).select(
+            "key", *place, "left", "right", "x", length(left).cast("long").alias("before"), length(right).cast("long").alias("after"),
+            code(number(F.col("key"), F.col("x"), F.octet_length(left)), left, right).alias("whole"),
+            code(number(F.col("key"), F.col("x")), part("left", "x"), part("right", f"{slack} - last")).alias("prefix"),
+        )
+        dealt = stored(coded)
+        carried = ["prefix", "key", "left", "right", "x"]
+        classes = stored(dealt.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place, *carried)).alias("head")).select("whole", "n", "head.*"))
+        repeated = dealt.join(classes.where("n > 1").select("whole"), "whole").where(F.col("before") + F.col("after") >= slack)
+        known.append(repeated.select("rep", "twin", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + size + F.col("after")).alias("end")))
+        met = classes.select(*carried, *place).join(stored(classes.groupBy("prefix").agg(F.count(F.lit(1)).alias("m")).where("m > 1")), "prefix")
+        groups.append(met.where(F.col("m") <= frame.most).select(F.xxhash64("prefix").alias("key"), F.lit(CONTEXT).alias("kind"), *place, "left", "right"))
+        large = met.where(F.col("m") > frame.most)
+        if reach == 1 or large.isEmpty():
+            return groups, known
+        reach = _finer(reach, slack)
+        ranges = F.filter(F.array(*[F.col("x") + j * reach for j in range(4)]), lambda x: x <= slack)
+        live = large.select("key", *place, "left", "right", F.explode(ranges).alias("x"))
+
+
+def _finer(reach: int, slack: int) -> int:
+    """A quarter of a range; the first is the power of four whose fourfold holds all windows."""
+    if reach <= slack:
+        return reach // 4
+    reach = 1
+    while 4 * reach < slack + 1:
+        reach *= 4
+    return reach
+
+
+def unpacked(marks: list[dict]) -> Iterator[tuple[int, int]]:
     for mark in marks:
-        yield mark["key"], mark["at"], mark["hot"]
+        yield mark["key"], mark["at"]
         if mark["more"]:
             for at in np.frombuffer(mark["more"], np.int64).tolist():
-                yield mark["key"], at, mark["hot"]
+                yield mark["key"], at
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -397,7 +453,7 @@ def digest(docs: DataFrame, frame: Frame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), address(F.col("text")).alias("address"), "text").mapInArrow(count, "doc_id long, address binary, n long, sha string")
     # written out: the last join then deals both its sides itself and can split a text with very many copies
-    known = cut(classes.join(results, ["rep", "twin"], "left").drop("rep", "twin", "cid"))
+    known = stored(classes.join(results, ["rep", "twin"], "left").drop("rep", "twin", "cid"))
     whole = (F.col("copies") > 1) & (F.col("n") >= frame.width)
     pick = lambda all_gone, part, none: F.when(whole, all_gone).otherwise(F.coalesce(part, none))
     return rows.join(known, "address", "left").select(
