@@ -7,9 +7,9 @@ page, so copies of an article do not make its lines boilerplate.
 
 Counts are partial aggregates over (host, line hash, text hash), and what is
 joined back is one short list for each host: lines above a ratio number at most
-the mean lines of a page divided by the ratio.  That list is broadcast only if
-it was counted to be small; else the pages are joined by host, where adaptive
-execution splits a hot host.
+the mean lines of a page divided by the ratio.  The lists are written first: they
+are broadcast only if they were counted to be small, else the pages are joined by
+host and, the other side being a table, adaptive execution can split a hot host.
 
 Defined cases: a line is compared without the white space at its ends; lines
 without a word are neither counted nor dropped; null text stays null and counts
@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, cut, free_name, text_or_empty
+from .common import WORD_REGEX, free_name, let, stored, text_or_empty
 
 RATIO = 0.01
 LEAST_PAGES = 10
-#: Boilerplate lines that may be broadcast (8 bytes each and a host name).
+#: Boilerplate lines (8 bytes each) of all hosts that may be broadcast.
 BROADCAST_LINES = 500_000
 ENDS = " \t\r\x0b\f"
 
@@ -55,16 +55,18 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, dropped: str | None = None) -> DataFrame:
     """``docs`` with ``text`` without its host's boilerplate lines; ``dropped`` names a column for their number."""
-    found = cut(boilerplate(docs, host, text, ratio, least_pages))
-    per_host = found.groupBy("host").agg(F.collect_set("line").alias("lines"))
-    if found.count() <= BROADCAST_LINES:
+    per_host = stored(boilerplate(docs, host, text, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("lines")))
+    if (per_host.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES:
         per_host = F.broadcast(per_host)
-    key, lines = free_name(docs, "boilerplate_host"), free_name(docs, "boilerplate_lines")
+    key, lines, left = (free_name(docs, f"boilerplate_{c}") for c in ("host", "lines", "left"))
     joined = docs.withColumn(key, F.coalesce(F.col(host), F.lit(""))).join(per_host.select(F.col("host").alias(key), F.col("lines").alias(lines)), key, "left")
-    drop = lambda x: F.coalesce(F.array_contains(F.col(lines), _line_hash(x)), F.lit(False)) & x.rlike(WORD_REGEX)
-    kept = F.filter(_lines(F.col(text)), lambda x: ~drop(x))
-    changed = F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    number = F.when(F.col(lines).isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text))) - F.size(kept)).cast("long")
+    # the host's list is met once by hashing; what is left of it is the page's own
+    own = let(F.array_intersect(F.transform(_lines(F.col(text)), _line_hash), F.col(lines)), lambda gone: F.filter(_lines(F.col(text)), lambda x: ~(F.array_contains(gone, _line_hash(x)) & x.rlike(WORD_REGEX))))
+    kept = F.when(F.col(lines).isNull() | F.col(text).isNull(), F.lit(None)).otherwise(own)
+    # explode of one element keeps the optimizer from computing it at each use
+    joined = joined.select("*", F.explode(F.array(kept)).alias(left))
+    changed = F.when(F.col(left).isNull(), F.col(text)).otherwise(F.array_join(F.col(left), "\n"))
+    number = F.when(F.col(left).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text))) - F.size(F.col(left))).cast("long")
     out = [changed.alias(c) if c == text else F.col(c) for c in docs.columns]
     return joined.select(*out, *([number.alias(dropped)] if dropped else []))
 
