@@ -91,10 +91,9 @@ def measurements(text: Column) -> Column:
 
     def of_words(words: Column) -> Column:
         n = F.size(words)
-        windows = F.when(
-            n >= WINDOW,
-            F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-        ).otherwise(F.array().cast("array<bigint>"))
+        # a word is hashed once; a window is the hash of its words' hashes
+        over = lambda hashes: F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+        windows = F.when(n >= WINDOW, let(F.transform(words, lambda w: F.xxhash64(w)), over)).otherwise(F.array().cast("array<bigint>"))
         return F.struct(n.cast("long").alias("n_words"), let(windows, _repeat_words).alias("n_repeat_words"))
 
     def of_lines(lines: Column) -> Column:
