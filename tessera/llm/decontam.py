@@ -12,7 +12,7 @@ lower case and without punctuation.
 2. The CGK random walk embeds a window as a sequence of symbols: a shared random
    bit for each (step, word) tells whether the walk moves on.  Sequences at a
    small edit distance get embeddings at a small Hamming distance.  ``WALKS``
-   independent walks are sampled at ``SAMPLE`` steps ``TABLES`` times; each sample
+   independent walks are sampled, each several times at ``SAMPLE`` steps; a sample
    is the key of a bucket.  ``tests/llm`` measures the recall at the edit limit.
 3. Buckets meet as tables: the keys of windows (those that a second bit map of
    fixed size lets through) are joined with the keys of items, and each distinct
@@ -47,7 +47,8 @@ from .common import bound_arrow, free_name, stored
 SIMILARITY = 0.8
 SAMPLE = 3
 WALKS = 10
-TABLES = 20
+#: Words of an item for each word between windows.
+STRIDE = 10
 #: Lengths of a size class differ by less than this factor.
 GROWTH = 1.1
 MOST_Q = 4
@@ -102,13 +103,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+_FACTORS = _mixed(np.arange(1, 2 * max(MOST_Q, SAMPLE), dtype=_U)) | _U(1)
+
+
 def gram_hashes(ids: np.ndarray, q: int) -> np.ndarray:
     if len(ids) < q:
         return np.empty(0, _U)
     h = np.full(len(ids) - q + 1, q, _U)
     for i in range(q):
-        h = _mixed(h + ids[i : len(ids) - q + 1 + i])
-    return h
+        h += ids[i : len(ids) - q + 1 + i] * _FACTORS[i]
+    return _mixed(h)
 
 
 # ------------------------------------------------------------------ bit maps
@@ -148,6 +152,16 @@ class SizeClass:
     def edits(self) -> int:
         return edits_allowed(self.high, self.similarity)
 
+    @property
+    def stride(self) -> int:
+        """Words from one window to the next; a run begins within half of it from a window, which costs an edit or two."""
+        return max(1, self.low // STRIDE)
+
+    @property
+    def tables(self) -> int:
+        """Samples of a walk: longer walks drift apart further at the same rate of edits."""
+        return min(40, 8 + self.low // 8)
+
     @property
     def steps(self) -> int:
         """Steps of a walk through the shortest item of the class, which moves on at every other one."""
@@ -158,9 +172,9 @@ def _walk_keys(steps: int) -> np.ndarray:
     return np.stack([_mixed(np.arange(steps, dtype=_U) + _U((SEED + w) << 32)) for w in range(WALKS)], axis=1)
 
 
-def _samples(steps: int) -> np.ndarray:
-    """(walks, tables, SAMPLE) steps, drawn in proportion to the walk's length."""
-    return (np.random.default_rng(SEED).random((WALKS, TABLES, SAMPLE)) * steps).astype(np.int64)
+def _samples(size: SizeClass) -> np.ndarray:
+    """(walks, tables, SAMPLE) steps of the class's walks."""
+    return (np.random.default_rng(SEED).random((WALKS, size.tables, SAMPLE)) * size.steps).astype(np.int64)
 
 
 def embedded(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int) -> np.ndarray:
@@ -178,11 +192,11 @@ def embedded(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int
 def bucket_keys(symbols: np.ndarray, size: SizeClass) -> np.ndarray:
     """(starts, walks * tables) keys of the sampled symbols."""
     walks = np.arange(WALKS)[:, None, None]
-    picked = symbols[_samples(size.steps), walks]  # (walks, tables, SAMPLE, starts)
-    key = np.broadcast_to(_mixed(np.arange(WALKS * TABLES, dtype=_U) + _U(size.number << 32)).reshape(WALKS, TABLES, 1), (WALKS, TABLES, symbols.shape[2]))
+    picked = symbols[_samples(size), walks]  # (walks, tables, SAMPLE, starts)
+    key = _mixed(np.arange(WALKS * size.tables, dtype=_U) + _U(size.number << 32)).reshape(WALKS, size.tables, 1)
     for s in range(SAMPLE):
-        key = _mixed(key + picked[:, :, s])
-    return key.reshape(WALKS * TABLES, -1).T
+        key = key + picked[:, :, s] * _FACTORS[s]
+    return _mixed(key).reshape(WALKS * size.tables, -1).T
 
 
 def item_keys(ids: np.ndarray, size: SizeClass) -> np.ndarray:
@@ -197,8 +211,8 @@ class Finder:
     def __init__(self, classes: list[SizeClass], grams: bytes, keys: bytes):
         self.classes = classes
         self.grams, self.keys = (np.frombuffer(zlib.decompress(x), _U) for x in (grams, keys))
-        self.facts = [(c, c.q, c.need, c.high + c.edits) for c in classes]
-        self.sizes = sorted({q for _, q, _, _ in self.facts})
+        self.facts = [(c, c.q, c.need, c.high + c.edits, c.stride) for c in classes]
+        self.sizes = sorted({q for _, q, _, _, _ in self.facts})
         self.held: list[tuple[tuple, np.ndarray, list[tuple[int, np.ndarray]]]] = []
         self.words = 0
 
@@ -210,11 +224,12 @@ class Finder:
             if seen.any():
                 sums[q] = np.concatenate([[0], np.cumsum(seen)])
         windows = []
-        for k, (_, q, need, span) in enumerate(self.facts):
+        for k, (_, q, need, span, stride) in enumerate(self.facts):
             if q in sums:
-                total = sums[q]
-                until = np.minimum(np.arange(len(total) - 1) + span - q + 1, len(total) - 1)
-                starts = np.flatnonzero(total[until] - total[:-1] >= need)
+                total, last = sums[q], len(sums[q]) - 1
+                starts = np.arange(0, len(ids), stride)
+                low, high = np.minimum(np.maximum(starts - stride // 2, 0), last), np.minimum(starts + stride // 2 + span - q + 1, last)
+                starts = starts[total[high] - total[low] >= need]
                 if len(starts):
                     windows.append((k, starts))
         if windows:
@@ -250,14 +265,14 @@ class Finder:
                     if some.any():
                         hits.setdefault(k, []).append((mine[some], found[some], good[some]))
         for k, parts in hits.items():
-            size_class_, _, _, span = self.facts[k]
+            size_class_, _, _, span, stride = self.facts[k]
             starts, found, good = (np.concatenate(x) for x in zip(*parts, strict=True))
             doc = np.searchsorted(base, starts, side="right") - 1
             for run in np.split(np.arange(len(starts)), np.flatnonzero((np.diff(starts) > span) | (np.diff(doc) > 0)) + 1):
                 label, ids, _ = self.held[doc[run[0]]]
                 offset = base[doc[run[0]]]
-                first = max(0, int(starts[run[0]] - offset) - size_class_.edits)
-                around = ids[first : int(starts[run[-1]] - offset) + span + 1]
+                first = max(0, int(starts[run[0]] - offset) - size_class_.edits - stride)
+                around = ids[first : int(starts[run[-1]] - offset) + span + stride + 1]
                 yield label, size_class_.number, first, around, np.unique(found[run][good[run]])
         self.held, self.words = [], 0
 
