@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,13 @@ PAYWALL = (
 
 
 def _any_of(text: Column, marks: tuple[str, ...]) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(m.replace(".", r"\.") for m in marks))
+    """Whether the text holds a mark; plain searches, which cost a fraction of a pattern of alternatives."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: reduce(lambda a, b: a | b, [low.contains(m) for m in marks]))
+
+
+def is_barred(content: Column) -> Column:
+    """Blocked or paywalled, in one search."""
+    return _any_of(content, BLOCKED + PAYWALL)
 
 
 def is_blocked(content: Column, html: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, query as Q, urls
-from ..functions.text import occurrences, word_count
+from ..functions.text import let, occurrences, word_count
 from ..shared import stored
 from . import bm25f
 
@@ -90,19 +90,14 @@ def with_authority(rows: DataFrame, url: str = "url", adjustments: DataFrame | N
 
 def relevance(text: Column, terms: Q.Terms) -> Column:
     """Struct (score, matches): 10 for each occurrence of a required term, 20 of a phrase; nothing with an excluded term."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    words, runs = F.lit(0), F.lit(0)
-    for x in terms.required:
-        words = words + occurrences(t, x)
-    for x in terms.phrases:
-        runs = runs + occurrences(t, x)
-    barred = F.lit(False)
-    for x in terms.excluded:
-        barred = barred | t.contains(x)
-    return F.struct(
-        F.when(barred, 0.0).otherwise(10.0 * words + 20.0 * runs).alias("score"),
-        F.when(barred, 0).otherwise(words + runs).alias("matches"),
-    )
+
+    def counted(t: Column) -> Column:
+        words = reduce(lambda a, x: a + occurrences(t, x), terms.required, F.lit(0))
+        runs = reduce(lambda a, x: a + occurrences(t, x), terms.phrases, F.lit(0))
+        barred = reduce(lambda a, x: a | t.contains(x), terms.excluded, F.lit(False))
+        return F.when(barred, F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("matches"))).otherwise(let(F.struct(words.alias("w"), runs.alias("r")), lambda n: F.struct((10.0 * n["w"] + 20.0 * n["r"]).alias("score"), (n["w"] + n["r"]).alias("matches"))))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), counted)
 
 
 def matched_terms(texts: list[Column], terms: list[str]) -> Column:
@@ -142,14 +137,17 @@ def rank_legacy(candidates: DataFrame, query: str, now: Column, k: int | None =
 
 def rank_final(rows: DataFrame, query: str, k: int | None = 10, content: str = "content") -> DataFrame:
     """Content ranking: initial score + 3 content + quality (5 any, 3 over 500 characters, 2 not blocked) + half the density (at most 10)."""
-    from .quality import is_blocked, is_paywall
+    from .quality import is_barred
 
     text = F.coalesce(F.col(content), F.lit(""))
-    c = relevance(text, Q.parse(query))
-    quality = F.when(text != "", 5.0).otherwise(0.0) + F.when(F.length(text) > 500, 3.0).otherwise(0.0) + F.when(is_blocked(text) | is_paywall(text), 0.0).otherwise(2.0)
-    density = F.coalesce(F.try_divide(100.0 * c["matches"], word_count(text)), F.lit(0.0))
+    # explode of one element keeps the optimizer from measuring a text at each use
+    measured = F.struct(relevance(text, Q.parse(query)).alias("c"), is_barred(text).alias("barred"), word_count(text).alias("words"))
+    each = rows.select("*", F.explode(F.array(measured)).alias("__m"))
+    c = F.col("__m.c")
+    quality = F.when(text != "", 5.0).otherwise(0.0) + F.when(F.length(text) > 500, 3.0).otherwise(0.0) + F.when((text != "") & F.col("__m.barred"), 0.0).otherwise(2.0)
+    density = F.coalesce(F.try_divide(100.0 * c["matches"], F.col("__m.words")), F.lit(0.0))
     total = F.coalesce("initial_rank_score", F.lit(0.0)) + 3.0 * c["score"] + quality + 0.5 * F.least(density, F.lit(10.0))
-    ranked = rows.withColumn("final_rank_score", total).withColumn("keyword_density", density)
+    ranked = each.withColumn("final_rank_score", total).withColumn("keyword_density", density).drop("__m")
     return ranked if k is None else bm25f.top(ranked, "final_rank_score", k)
 
 
