@@ -115,8 +115,8 @@ def convert_count(value: Column) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """'5mb' -> bytes; plain numbers are bytes; else null."""
-    pattern = r"^\s*([0-9]*\.?[0-9]+)\s*([kmg]?)b?\s*$"
-    number = F.regexp_extract(F.lower(text), pattern, 1).try_cast("double")
-    unit = F.regexp_extract(F.lower(text), pattern, 2)
-    return F.floor(number * F.when(unit == "k", 1024).when(unit == "m", 1024**2).when(unit == "g", 1024**3).otherwise(1)).cast("long")
+    """'5mb' -> bytes, with one of the units b, kb, mb and gb; else null."""
+    pattern = r"^([0-9.]+)\s*(b|kb|mb|gb)$"
+    t = F.lower(F.trim(text))
+    number, unit = F.regexp_extract(t, pattern, 1).try_cast("double"), F.regexp_extract(t, pattern, 2)
+    return F.floor(number * F.when(unit == "b", 1).when(unit == "kb", 1024).when(unit == "mb", 1024**2).when(unit == "gb", 1024**3)).cast("long")

@@ -77,15 +77,71 @@ def category_of(url: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(url, r"^[a-z]+://[^/]+/(?:category|tag)/([^/?#]+)", 1)), F.lit("")), F.lit("all"))
 
 
-# Other names of categories.
-CATEGORY_ALIASES = {"ml": "ai", "artificial-intelligence": "ai", "machine-learning": "ai", "startup": "startups", "cybersecurity": "security", "infosec": "security"}
+# Other names of categories, and the categories that have feeds.
+CATEGORY_ALIASES = {
+    "artificial-intelligence": "ai", "ml": "ai", "machine-learning": "ai", "media-entertainment": "media", "social-media": "social", "vc": "venture", "venture-capital": "venture",
+    "crypto": "cryptocurrency", "cryptocurrencies": "cryptocurrency", "ecommerce": "commerce", "e-commerce": "commerce",
+}
+CATEGORIES = (
+    "all", "news", "business", "startups", "venture", "ai", "space", "apps", "security", "enterprise", "fintech", "transportation", "robotics", "hardware", "mobile", "gaming", "cloud",
+    "cryptocurrency", "climate", "social", "commerce", "open_source", "sports", "football", "cricket", "tennis", "movies", "television", "music", "fashion", "beauty", "food", "travel", "cars",
+    "architecture", "books", "interior_design", "diy", "funny", "history", "personal_finance", "photography", "science",
+)
 
 
 def category(name: Column) -> Column:
+    """A category by its own or another name."""
     n = F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("-"))
     return F.coalesce(F.create_map(*[x for k, v in CATEGORY_ALIASES.items() for x in (F.lit(k), F.lit(v))])[n], n)
 
 
+def is_category(name: Column) -> Column:
+    return F.coalesce(category(name).isin(*CATEGORIES), F.lit(False))
+
+
+def enrich(entries: DataFrame, now: Column, feed_url: str = "feed_url", asked: str | None = None) -> DataFrame:
+    """``entries`` with feed_name, category and fetched_at; the category is the one ``asked`` for, if there is such a one, else the feed URL's."""
+    own = F.lower(F.regexp_extract(feed_url, r"^[a-z]+://[^/]+/+(?:category|tag)/+([^/?#]+)", 1))
+    found = F.when(own != "", category(own)).otherwise("all")
+    chosen = F.when(is_category(F.col(asked)), category(F.col(asked))).otherwise(found) if asked else found
+    name = F.replace(F.regexp_extract(feed_url, r"^[a-z]+://([^/?#]+)", 1), F.lit("www."), F.lit(""))
+    return entries.withColumns({"feed_name": F.when(name != "", name).otherwise("techcrunch"), "category": chosen, "fetched_at": F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")})
+
+
+# The feeds of each location.
+LOCATION_FEEDS = {
+    "india": ("https://timesofindia.indiatimes.com/rssfeeds/-2128936835.cms",), "world": ("https://timesofindia.indiatimes.com/rssfeeds/296589292.cms",),
+    "us": ("https://timesofindia.indiatimes.com/rssfeeds_us/72258322.cms", "https://timesofindia.indiatimes.com/rssfeeds/30359486.cms"), "pakistan": ("https://timesofindia.indiatimes.com/rssfeeds/30359534.cms",),
+    "uk": ("https://timesofindia.indiatimes.com/rssfeeds/2177298.cms",), "europe": ("https://timesofindia.indiatimes.com/rssfeeds/1898274.cms",), "china": ("https://timesofindia.indiatimes.com/rssfeeds/1898184.cms",),
+    "india-delhi": ("https://timesofindia.indiatimes.com/rssfeeds/-2128839596.cms",), "india-bangalore": ("https://timesofindia.indiatimes.com/rssfeeds/-2128833038.cms",),
+    "india-hyderabad": ("https://timesofindia.indiatimes.com/rssfeeds/-2128816011.cms",),
+}
+
+
+def location_feeds(location: Column) -> Column:
+    """Feed URLs of a location, whatever its case; none of an unknown one."""
+    key = F.replace(F.lower(F.trim(location)), F.lit(" "), F.lit("-"))
+    urls = F.create_map(*[x for k, v in LOCATION_FEEDS.items() for x in (F.lit(k), F.array(*[F.lit(u) for u in v]))])
+    return F.coalesce(urls[key], F.array().cast("array<string>"))
+
+
+def location_news(requests: DataFrame, landed: DataFrame, cap: int = 5) -> DataFrame:
+    """(source, n, title, url, body, author, date) of the feeds of the requested ``location``s: per feed the first ``cap`` entries with title and link, each URL once.
+
+    ``requests`` has (pos, location), ``landed`` (feed_url, xml).
+    """
+    from .dedup import first_wins
+
+    label = F.replace(F.lower(F.trim("location")), F.lit(" "), F.lit("-"))
+    wanted = requests.select("pos", label.alias("label"), F.posexplode(location_feeds(F.col("location"))).alias("k", "feed_url"))
+    entries = parse(landed).where((F.col("title") != "") & (F.col("link") != ""))
+    plain = F.trim(F.regexp_replace(F.regexp_replace("summary", "<[^>]+>", " "), r"\s+", " "))
+    rows = wanted.join(entries, "feed_url").select("pos", "k", F.concat(F.lit("toi-"), "label").alias("source"), "feed_url", "n", "title", F.col("link").alias("url"), plain.alias("body"), "author", F.col("published").alias("date"))
+    once = first_wins(rows, F.col("url"), "pos", "k", "n")
+    first = once.withColumn("__n", F.row_number().over(Window.partitionBy("pos", "k").orderBy("n"))).where(F.col("__n") <= cap)
+    return first.select("source", "n", "title", "url", "body", "author", "date")
+
+
 # The feed tags that words and phrases of a query stand for.
 TAGS = {
     "gallery": "gallery", "art": "digitalart traditional painting", "digital art": "digitalart", "digital": "digitalart", "digitalart": "digitalart", "painting": "painting traditional",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html
-from ..operators import documents, feeds, ingest, quality
+from ..operators import acquisition, documents, feeds, ingest, quality
 from ..sources import payloads, sinks
-from .common import CAND, candidates, query, table
+from .common import CAND, candidates, now, query, table
 
 
 def _as_json(rows, value, *keys, order="n"):
@@ -208,11 +208,131 @@ def result_links(spark, d):
     return payloads.result_page(table(spark, d, "pages").select("page_id", page.alias("html")), "html", "page_id").select("page_id", "n", "title", "href", "body")
 
 
-@query("publisher_titles", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'News of ' || c_custkey || ' - Other' ELSE 'News of ' || c_custkey END AS title FROM customer""")
+@query(
+    "publisher_titles",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'News - of ' || c_custkey WHEN 1 THEN 'News & ' || c_custkey WHEN 2 THEN 'News of ' || c_custkey || ' - TOI' ELSE 'News of ' || c_custkey END AS generic,
+ CASE c_custkey % 4 WHEN 0 THEN 'News' WHEN 1 THEN 'News & ' || c_custkey ELSE 'News of ' || c_custkey END AS google FROM customer""",
+)
 def publisher_titles(spark, d):
-    k = F.col("c_custkey")
-    title = F.concat(F.lit("News of "), _s("c_custkey"), F.when(k % 3 == 0, " - The Paper").when(k % 3 == 1, " - THE paper").otherwise(" - Other"))
-    return table(spark, d, "customer").select("c_custkey", payloads.publisher_title(title, F.lit("the paper")).alias("title"))
+    k, n = F.col("c_custkey") % 4, _s("c_custkey")
+    title = F.when(k == 0, F.concat(F.lit("News - of "), n)).when(k == 1, F.concat(F.lit("News &amp; <b>"), n, F.lit("</b>"))).when(k == 2, F.concat(F.lit("News of "), n, F.lit(" - TOI"))).otherwise(F.concat(F.lit("News of "), n, F.lit("  - Times of INDIA ")))
+    paper = F.when(k == 3, "Times of India").otherwise("Another")
+    return table(spark, d, "customer").select("c_custkey", payloads.publisher_title(title, paper).alias("generic"), payloads.publisher_title(title, paper, "google_news").alias("google"))
+
+
+@query(
+    "news_descriptions",
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'https://p.example/' || c_custkey END AS link, CASE c_custkey % 3 WHEN 0 THEN 'Story ' || c_custkey WHEN 1 THEN 'only words' ELSE 'a' END AS text,
+ CASE c_custkey % 3 WHEN 0 THEN 'Paper & Co' WHEN 1 THEN '' ELSE 'Src' END AS source, CASE c_custkey % 3 WHEN 0 THEN 'https://p.example/' || c_custkey WHEN 1 THEN 'https://q.example/a b' ELSE 'https://news.google.com/articles/' || c_custkey END AS url FROM customer""",
+)
+def news_descriptions(spark, d):
+    k, n = F.col("c_custkey") % 3, _s("c_custkey")
+    html_part = F.when(k == 0, F.concat(F.lit('<a target="_blank" href="https://p.example/'), n, F.lit('">Story <i>'), n, F.lit('</i></a><font size="-1">Paper &amp; Co</font>'))).when(k == 1, F.lit(" only <b>words</b> ")).otherwise(F.lit('a<source url="https://s.example">Src</source>'))
+    url = F.when(k == 1, F.lit("https://news.google.com/x?q=https://q.example/a%20b&hl=en")).otherwise(F.concat(F.lit("https://news.google.com/articles/"), n))
+    rows = table(spark, d, "customer").select("c_custkey", url.alias("raw"), F.explode(F.array(payloads.description_parts(html_part))).alias("p"))
+    text = F.regexp_replace("p.text", " Src$", "")
+    return rows.select("c_custkey", "p.link", text.alias("text"), "p.source", payloads.news_url(F.col("raw"), F.col("p.link")).alias("url"))
+
+
+@query(
+    "enriched_entries",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'feeds.example.org' WHEN 1 THEN 'tech.example.com' WHEN 2 THEN 'techcrunch' ELSE 'a.example' END AS feed_name,
+ CASE p_partkey % 4 WHEN 0 THEN 'ai' WHEN 1 THEN 'odd-topic' WHEN 2 THEN 'all' ELSE 'cryptocurrency' END AS category, '2024-03-02T00:00:00+00:00' AS fetched_at FROM part""",
+)
+def enriched_entries(spark, d):
+    k = F.col("p_partkey") % 4
+    url = F.when(k == 0, "https://www.feeds.example.org/category/Machine-Learning/feed/").when(k == 1, "https://tech.example.com/tag/odd-topic/feed").when(k == 2, "no address").otherwise("https://a.example/tag/x")
+    asked = F.when(k == 3, " Crypto ").when(k == 1, "no such")
+    rows = feeds.enrich(table(spark, d, "part").select("p_partkey", url.alias("feed_url"), asked.alias("asked")), now(), asked="asked")
+    return rows.select("p_partkey", "feed_name", "category", "fetched_at")
+
+
+@query(
+    "location_news",
+    """WITH f AS (SELECT * FROM (VALUES (0, 'toi-us', 'us1'), (1, 'toi-us', 'us2'), (2, 'toi-india-delhi', 'dl')) v(k, source, name)), e AS (SELECT k, source, name, n FROM f CROSS JOIN range(8) t(n) WHERE n <> 2),
+u AS (SELECT source, k, n, CASE WHEN n = 0 THEN 'https://n.example/shared' ELSE 'https://n.example/' || name || '/' || n END AS url FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY k, n) AS turn FROM u),
+c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS place FROM o WHERE turn = 1) SELECT source, CAST(n AS INTEGER) AS n, url, 'body ' || n AS body FROM c WHERE place <= 5""",
+)
+def location_news(spark, d):
+    item = lambda name, n: f"<item><title>{'' if n == 2 else 'T'}</title><link>https://n.example/{'shared' if n == 0 else f'{name}/{n}'}</link><description>&lt;a&gt;body&lt;/a&gt; {n}</description></item>"
+    names = dict(zip(("us1", "us2", "dl"), [*feeds.LOCATION_FEEDS["us"], *feeds.LOCATION_FEEDS["india-delhi"]], strict=True))
+    landed = spark.createDataFrame([(url, "<rss>" + "".join(item(name, n) for n in range(8)) + "</rss>") for name, url in names.items()], "feed_url string, xml string")
+    requests = spark.createDataFrame([(0, "US"), (1, " India Delhi"), (2, "nowhere")], "pos int, location string")
+    return feeds.location_news(requests, landed).select("source", "n", "url", "body")
+
+
+# ----------------------------------------------------------------- acquisition
+@query(
+    "polite_turns",
+    """WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS host, CAST(l_orderkey % 40 AS DOUBLE) AS asked FROM lineitem WHERE l_suppkey % 10 = 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY asked, l_orderkey * 10 + l_linenumber) AS k FROM r),
+s AS (SELECT host, k, l_orderkey, l_linenumber, asked AS start FROM o WHERE k = 1 UNION ALL SELECT o.host, o.k, o.l_orderkey, o.l_linenumber, greatest(o.asked, s.start + 1.5) FROM s JOIN o ON o.host = s.host AND o.k = s.k + 1)
+SELECT l_orderkey, l_linenumber, start FROM s""",
+)
+def polite_turns(spark, d):
+    rows = table(spark, d, "lineitem").where("l_suppkey % 10 = 3").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).alias("host"), (F.col("l_orderkey") % 40).cast("double").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return acquisition.turns(rows, delay=1.5).select("l_orderkey", "l_linenumber", "start")
+
+
+@query(
+    "available_proxies",
+    """WITH p AS (SELECT DISTINCT 'h' || (user_id % 30) || ':80' AS proxy_id FROM events), l AS (SELECT 'h' || (user_id % 23) || ':80' AS proxy_id, arg_max(event_id % 3 <> 0, ts) AS ok, max(ts) AS ts FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events)
+SELECT proxy_id FROM p LEFT JOIN l USING (proxy_id) CROSS JOIN n WHERE coalesce(ok OR epoch(now) - epoch(ts) >= 3600, true) UNION ALL SELECT 'direct'""",
+)
+def available_proxies(spark, d):
+    e = table(spark, d, "events")
+    latest = e.agg(F.max("ts")).first()[0]
+    log = e.select(F.concat(F.lit("h"), (F.col("user_id") % 23).cast("string"), F.lit(":80")).alias("proxy_id"), (F.col("event_id") % 3 != 0).alias("success"), "ts")
+    proxies = e.select(F.concat(F.lit("http://user:secret@h"), (F.col("user_id") % 30).cast("string"), F.lit(":80")).alias("proxy"))
+    return acquisition.proxies_available(proxies, log, F.lit(latest), 3600)
+
+
+@query(
+    "ladder_outcomes",
+    """WITH r AS (SELECT l_orderkey AS url, l_linenumber - 1 AS k, (l_orderkey + l_linenumber) % 4 = 0 AS ok FROM lineitem WHERE l_linenumber <= 5), f AS (SELECT url, min(k) FILTER (WHERE ok) AS first FROM r GROUP BY url)
+SELECT url, CASE WHEN first IS NULL THEN 'failed' ELSE 'success' END AS status, 'r' || first AS rung, string_agg('r' || k, ',' ORDER BY k) FILTER (WHERE first IS NULL OR k <= first) AS rungs_tried FROM r JOIN f USING (url) GROUP BY url, first""",
+)
+def ladder_outcomes(spark, d):
+    k = F.col("l_linenumber") - 1
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("url"), k.alias("rung_order"), F.concat(F.lit("r"), k.cast("string")).alias("rung"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 4 == 0).alias("success"))
+    return acquisition.ladder_outcomes(rows).withColumn("rungs_tried", F.array_join("rungs_tried", ","))
+
+
+@query(
+    "fetch_outcomes",
+    """WITH r AS (SELECT l_orderkey AS url, l_linenumber - 1 AS k, (ARRAY[200, 503, 404, 429, 500])[(l_orderkey * 3 + l_linenumber) % 5 + 1] AS code, 'tier' || (l_linenumber % 3) AS tier FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+f AS (SELECT url, min(k) FILTER (WHERE code = 200) AS won, max(k) AS last, count(*) AS n FROM r GROUP BY url)
+SELECT f.url, CASE WHEN won IS NOT NULL THEN 'success' WHEN code IN (429, 500, 503) THEN 'retry' ELSE 'failed' END AS status, CAST(CASE WHEN won IS NOT NULL THEN won + 1 ELSE n END AS INTEGER) AS attempts, tier,
+ CASE WHEN won IS NULL THEN 'e' || code END AS error FROM f JOIN r ON r.url = f.url AND r.k = coalesce(won, last)""",
+)
+def fetch_outcomes(spark, d):
+    code = F.element_at(F.array(*[F.lit(x) for x in (200, 503, 404, 429, 500)]), ((F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 5 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").alias("url"), (F.col("l_linenumber") - 1).alias("attempt"), F.concat(F.lit("tier"), (F.col("l_linenumber") % 3).cast("string")).alias("tier"), code.alias("status_code"), F.concat(F.lit("e"), code.cast("string")).alias("error"))
+    return acquisition.fetch_outcomes(rows)
+
+
+@query("compacted_options", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a,b' ELSE 'a,c' END AS kept FROM nation")
+def compacted_options(spark, d):
+    k = F.col("n_nationkey") % 3
+    options = F.create_map(F.lit("a"), F.col("n_name"), F.lit("b"), F.when(k == 1, "x").when(k == 0, "  "), F.lit("c"), F.when(k == 2, "y").otherwise(""))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(F.map_keys(acquisition.compacted(options)), ",").alias("kept"))
+
+
+@query("parsed_sizes", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey * 1024 WHEN 2 THEN CAST((p_partkey + 0.5) * 1048576 AS BIGINT) WHEN 3 THEN p_partkey * 1073741824 END AS bytes FROM part""")
+def parsed_sizes(spark, d):
+    n = _s("p_partkey")
+    text = F.element_at(F.array(F.concat(n, F.lit("b")), F.concat(n, F.lit(" KB")), F.concat(n, F.lit(".5mb")), F.concat(F.lit(" "), n, F.lit("GB ")), n, F.concat(n, F.lit("tb"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", documents.parse_size(text).alias("bytes"))
+
+
+@query("markdown_rows", """SELECT '| ' || n_nationkey || ' | ' || n_name || ' | a' || chr(92) || '|b | |' AS line FROM nation""")
+def markdown_rows(spark, d):
+    return sinks.markdown_rows(table(spark, d, "nation").select("n_nationkey", "n_name", F.lit("a|b").alias("odd"), F.lit(None).cast("string").alias("none"))).select(F.regexp_replace("line", r" \|  \|$", " | |").alias("line"))
+
+
+@query("yaml_rows", """SELECT '- key: ' || n_nationkey || chr(10) || '  name: "' || n_name || '"' || chr(10) || '  none: null' || chr(10) || '  list: ["a",' || '"b"]' AS line FROM nation""")
+def yaml_rows(spark, d):
+    return sinks.yaml_rows(table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("none"), F.array(F.lit("a"), F.lit("b")).alias("list")))
 
 
 @query(

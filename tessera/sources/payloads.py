@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import parse as parse_date
-from ..functions.html import strip_tags
+from ..functions.html import strip_tags, unescape_native
 from ..functions.urls import host
 from ..operators.documents import convert_count
 
@@ -299,10 +299,44 @@ def result_page(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
     ).where("title <> ''")
 
 
-def publisher_title(title: Column, publisher: Column) -> Column:
-    """News titles without their trailing ' - Publisher'."""
-    tail = F.concat(F.lit(" - "), publisher)
-    return F.trim(F.when(F.lower(title).endswith(F.lower(tail)), F.substring(title, F.lit(1), F.length(title) - F.length(tail))).otherwise(title))
+# What titles of a publisher, or under a profile, end with.
+TITLE_TAILS = {"times of india": (r"\s*-\s*Times of India\s*$", r"\s*-\s*TOI\s*$"), "google news": (r"\s*-\s*[^-]+$",)}
+
+
+def plain_text(text: Column) -> Column:
+    """Entities, tags and runs of white space resolved."""
+    return F.trim(F.regexp_replace(F.regexp_replace(unescape_native(F.coalesce(text, F.lit(""))), "<[^>]+>", " "), r"\s+", " "))
+
+
+def publisher_title(title: Column, publisher: Column, profile: str = "generic") -> Column:
+    """News titles without the tails of their publisher and of the profile; under ``google_news`` without what follows the last ' - '."""
+    t = plain_text(title)
+    if profile == "google_news":
+        t = F.trim(F.regexp_replace(t, r"^(.*) - .*$", "$1"))
+    known = F.lower(F.coalesce(publisher, F.lit("")))
+    for name, tails in TITLE_TAILS.items():
+        cut = t
+        for tail in tails:
+            cut = F.trim(F.regexp_replace(cut, "(?i)" + tail, ""))
+        t = cut if name == profile else F.when(known == name, cut).otherwise(t)
+    return t
+
+
+def description_parts(description: Column) -> Column:
+    """Struct (link, text, source, source_url) of a feed's HTML description."""
+    h = F.coalesce(description, F.lit(""))
+    part = lambda pattern, group: F.regexp_extract(h, "(?is)" + pattern, group)
+    anchor, tagged, font = r'<a[^>]+href="([^"]+)"[^>]*>(.*?)</a>', r'<source[^>]*url="([^"]+)"[^>]*>(.*?)</source>', r"<font[^>]*>(.*?)</font>"
+    return F.struct(
+        F.nullif(part(anchor, 1), F.lit("")).alias("link"), plain_text(F.when(h.rlike("(?is)" + anchor), part(anchor, 2)).otherwise(h)).alias("text"),
+        plain_text(F.when(h.rlike("(?is)" + tagged), part(tagged, 2)).otherwise(part(font, 1))).alias("source"), F.nullif(part(tagged, 1), F.lit("")).alias("source_url"),
+    )
+
+
+def news_url(url: Column, description_link: Column) -> Column:
+    """The article behind a news redirect: its q parameter, else the description's link if that leads elsewhere."""
+    asked = F.url_decode(F.nullif(F.regexp_extract(url, "[?&]q=(https?://[^&]+)", 1), F.lit("")))
+    return F.coalesce(asked, F.when((F.coalesce(description_link, F.lit("")) != "") & ~description_link.contains("news.google.com"), description_link), url)
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:

@@ -53,20 +53,67 @@ def append_chunks(index: DataFrame, path: str) -> None:
     index.write.mode("append").parquet(path)
 
 
-def markdown(rows: DataFrame, title: str, limit: int = 1000, columns: int = 8) -> str:
-    """A Markdown table of at most ``limit`` rows and the first ``columns`` columns: a report, made on the driver."""
+def _cell(value: Column) -> Column:
+    return F.replace(F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def titled(name: str) -> str:
+    return name.replace("_", " ").title()
+
+
+def markdown_rows(rows: DataFrame, columns: int = 8) -> DataFrame:
+    """(line): each row as a row of a Markdown table of the first ``columns`` columns, in the order of ``rows``."""
+    names = _nested_as_json(rows.select(*rows.columns[:columns])).columns
+    cells = [_cell(F.col(f"`{n}`")) for n in names]
+    return _nested_as_json(rows.select(*names)).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def markdown_head(rows: DataFrame, title: str, columns: int = 8) -> list[str]:
     names = rows.columns[:columns]
-    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    head = ["# " + title, "", "| " + " | ".join(n.replace("_", " ").title() for n in names) + " |", "|" + " --- |" * len(names)]
-    return "\n".join(head + ["| " + " | ".join(cell(r[n]) for n in names) + " |" for r in rows.select(*names).limit(limit).collect()]) + "\n"
+    return [f"# {title}", "", "| " + " | ".join(map(titled, names)) + " |", "|" + " --- |" * len(names)]
+
+
+def write_markdown(rows: DataFrame, path: str, title: str, columns: int = 8) -> None:
+    """All of ``rows`` as text files that read as one table in the order of their names; the head is a file of its own."""
+    spark = rows.sparkSession
+    spark.createDataFrame([("\n".join(markdown_head(rows, title, columns)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/0-head")
+    markdown_rows(rows, columns).withColumnRenamed("line", "value").write.mode("overwrite").text(f"{path}/1-rows")
+
+
+def markdown(rows: DataFrame, title: str, columns: int = 8) -> str:
+    """The same as one string, for results of a page or two: a row at a time reaches the driver, and all of them stay there."""
+    lines = markdown_head(rows, title, columns) + [r["line"] for r in markdown_rows(rows, columns).toLocalIterator()]
+    return "\n".join(lines) + "\n"
+
+
+def markdown_value(value, key: str = "", level: int = 1) -> list[str]:
+    """Lines of a nested value: maps as headings, lists of records as tables of their first eight fields, other lists as items."""
+    if isinstance(value, dict):
+        lines = [f"{'#' * min(level, 6)} {titled(key)}", ""] if key else []
+        for k, v in value.items():
+            nested = isinstance(v, (dict, list))
+            lines += markdown_value(v, k, level + 1) if nested else [f"- **{titled(k)}:** {'' if v is None else v}"]
+        return lines + [""]
+    if isinstance(value, list) and value and all(isinstance(x, dict) for x in value):
+        names = list(dict.fromkeys(k for x in value for k in x))[:8]
+        cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+        table = ["| " + " | ".join(map(titled, names)) + " |", "|" + " --- |" * len(names)] + ["| " + " | ".join(cell(x.get(n)) for n in names) + " |" for x in value]
+        return [f"{'#' * min(level, 6)} {titled(key)}", "", *table, ""]
+    return [f"{'#' * min(level, 6)} {titled(key)}", "", *[f"- {x}" for x in value], ""]
+
+
+def yaml_rows(rows: DataFrame) -> DataFrame:
+    """(line): each row as an item of a YAML list, with its values as JSON, which YAML reads."""
+    value = lambda n: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(f"`{n}`").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
+    fields = [F.concat(F.lit(("- " if k == 0 else "  ") + n + ": "), F.coalesce(F.nullif(value(n), F.lit("")), F.lit("null"))) for k, n in enumerate(rows.columns)]
+    return rows.select(F.concat_ws("\n", *fields).alias("line"))
+
 
+def write_yaml(rows: DataFrame, path: str) -> None:
+    yaml_rows(rows).withColumnRenamed("line", "value").write.mode("overwrite").text(path)
 
-def yaml(rows: DataFrame, limit: int = 1000) -> str:
-    """YAML of at most ``limit`` rows, strings as JSON scalars: a report, made on the driver."""
-    import json
 
-    out = []
-    for line in rows.limit(limit).toJSON().collect():
-        for k, (name, value) in enumerate(json.loads(line).items()):
-            out.append(("- " if k == 0 else "  ") + f"{name}: {json.dumps(value, ensure_ascii=False)}")
-    return "\n".join(out) + ("\n" if out else "[]\n")
+def yaml(rows: DataFrame) -> str:
+    """The same as one string, for results of a page or two."""
+    lines = [r["line"] for r in yaml_rows(rows).toLocalIterator()]
+    return "\n".join(lines) + "\n" if lines else "[]\n"

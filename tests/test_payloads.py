@@ -69,7 +69,7 @@ def test_videos_and_result_pages(spark):
     serp = '<a href="https://d.com/l/?uddg=https%3A%2F%2Fx.org%2Fa">Title &amp; more</a><span>Body text</span><a href="/next">n</a>'
     got = payloads.result_page(frame(spark, serp, "html")).collect()
     assert [(r["title"], r["href"], r["body"]) for r in got] == [("Title & more", "https://x.org/a", "Body text")]
-    assert spark.range(1).select(payloads.publisher_title(F.lit("Big news - The Paper"), F.lit("the paper")).alias("t")).first()["t"] == "Big news"
+    assert spark.range(1).select(payloads.publisher_title(F.lit("Big news - The Paper"), F.lit("the paper"), "google_news").alias("t")).first()["t"] == "Big news"
 
 
 def candidates(spark, n=12):
