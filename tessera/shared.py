@@ -32,8 +32,20 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its size is known to the planner and its columns are read one by one."""
-    folder = new_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+_COALESCE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def stored(df: DataFrame, wide: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its size is known to the planner and its columns are read one by one.
+
+    Small partitions behind a shuffle are joined to full ones, so that a small table
+    is a few files; ``wide`` leaves them apart, for costly work on each row.
+    """
+    spark = df.sparkSession
+    folder, before = new_folder(spark), spark.conf.get(_COALESCE)
+    spark.conf.set(_COALESCE, before if wide else "false")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_COALESCE, before)
+    return spark.read.schema(df.schema).parquet(folder)
