@@ -4,8 +4,7 @@
    class, so copies are never expanded into pairs.
 2. Distinct fingerprints are dealt to small buckets.  Up to ``EXACT`` differing
    bits the buckets are exact: of four 16-bit blocks one must agree, and of the
-   four quarters of the other 48 bits again one.  For larger distances seeded
-   bit samples are used, enough of them for the recall stated in ``sampled``.
+   four quarters of the other 48 bits again one.
 3. Inside a bucket a table of Hamming distances to ``PIVOTS`` reference
    fingerprints is kept, sorted by the first pivot.  By the triangle inequality
    a pair whose coordinates differ by more than the limit anywhere cannot link;
@@ -31,17 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, cut
+from .common import bound_arrow, cut, free_name, stored
 
 EXACT = 3
 PIVOTS = 24
 #: Rows of a bucket compared at once.
 BLOCK = 512
-#: 1-bit minwise slots carried for near-duplicate verification on shingle sets.
-SLOTS = 512
 SEED = 42
 #: Bands of minima that make candidates for shingle sets, and minima of a band.
 BANDS, ROWS = 16, 4
+#: Sets of one group that a task holds to ask, and to ask against.
+GROUP = 1024
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -68,45 +67,16 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _minwise(hashes: np.ndarray) -> bytes:
-    """``SLOTS`` one-bit minwise slots (one permutation, the hash space cut into slots).
-
-    A slot without a hash takes that of the next slot that has one, in rotation.
-    """
-    if not len(hashes):
-        return bytes(SLOTS // 8)
-    mixed = np.unique(hashes) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    slot = (mixed >> np.uint64(55)).astype(np.int64)
-    least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, slot, mixed)
-    have = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    take = have[np.searchsorted(have, np.arange(SLOTS)) % len(have)]
-    far = (take - np.arange(SLOTS)) % SLOTS
-    bits = least[take] * np.uint64(0x94D049BB133111EB) + far.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    bits ^= bits >> np.uint64(32)
-    return np.packbits((bits * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8)).tobytes()
-
-
-def fingerprints(docs: DataFrame, k: int = 3, sketch: bool = False) -> DataFrame:
-    """(doc_id, fp[, sketch]) of every row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row of ``docs``; fp is the fingerprint as a signed long."""
     bound_arrow(docs.sparkSession)
-    schema = "doc_id long, fp long" + (", sketch binary" if sketch else "")
-    names = ["doc_id", "fp"] + ["sketch"] * sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = [], []
-            for text in batch.column("text"):
-                hashes = shingle_hashes(text.as_py(), k)
-                fps.append(fingerprint(hashes))
-                if sketch:
-                    sketches.append(_minwise(hashes))
-            columns = [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(sketches, pa.binary())] if sketch else []), names=names)
+            fps = [fingerprint(shingle_hashes(text.as_py(), k)) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 # ------------------------------------------------------------------- buckets
@@ -120,12 +90,6 @@ def exact_tables() -> list[list[int]]:
     return tables
 
 
-def sampled(tables: int, bits: int) -> list[list[int]]:
-    """Seeded bit samples.  32 samples of 14 bits meet a pair with 8 differing bits with 97 % and one with 6 with 99.8 %."""
-    pick = random.Random(SEED)
-    return [sorted(pick.sample(range(64), bits)) for _ in range(tables)]
-
-
 def _keys(fps: np.ndarray, bits: list[int], table: int) -> np.ndarray:
     key = np.full(len(fps), table, np.uint64)
     for b in bits:
@@ -158,8 +122,8 @@ class _Forest:
                 return up
             self.parent = up
 
-    def join(self, xs: np.ndarray, ys: np.ndarray, verify=None) -> None:
-        """Join the pairs that ``verify`` accepts; pairs that are joined already are not looked at again."""
+    def join(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        """Join the pairs; those that are joined already are not looked at again."""
         at, size = 0, 4096
         roots = self.roots()
         while at < len(xs):
@@ -167,9 +131,6 @@ class _Forest:
             at += size
             apart = roots[x] != roots[y]
             x, y = x[apart], y[apart]
-            if len(x) and verify is not None:
-                ok = verify(x, y)
-                x, y = x[ok], y[ok]
             if not len(x):
                 size = min(2 * size, 1 << 18)
                 continue
@@ -180,22 +141,12 @@ class _Forest:
             roots = self.roots()
 
 
-def bucket_links(fps: np.ndarray, reps: np.ndarray, limit: int, agree: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
-    """Spanning forest of the links within one bucket, as pairs (smaller rep, other rep).
-
-    ``agree`` holds the unpacked sketches; with it, a pair must also share at
-    least ``least`` of the shingle sets by their estimate.
-    """
+def bucket_links(fps: np.ndarray, reps: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links within one bucket, as pairs (smaller rep, other rep)."""
     pivots = _pivots()
     table = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int16)
     order = np.argsort(table[:, 0], kind="stable")
     fps, reps, table = fps[order], reps[order], table[order]
-    if agree is not None:
-        agree = agree[order]
-    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        same = SLOTS - np.bitwise_count(agree[x] ^ agree[y]).sum(axis=1, dtype=np.int64)
-        return 2.0 * same / SLOTS - 1.0 >= least
-
     first, forest = table[:, 0], _Forest(len(fps))
     for a in range(0, len(fps), BLOCK):
         end = min(a + BLOCK, len(fps))
@@ -209,7 +160,7 @@ def bucket_links(fps: np.ndarray, reps: np.ndarray, limit: int, agree: np.ndarra
             up = a + i < b + j
             i, j = a + i[up], b + j[up]
             good = np.bitwise_count(fps[i] ^ fps[j]) <= limit
-            forest.join(i[good], j[good], None if agree is None else alike)
+            forest.join(i[good], j[good])
     roots = forest.roots()
     least_rep = np.full(len(fps), np.iinfo(np.int64).max)
     np.minimum.at(least_rep, roots, reps)
@@ -217,16 +168,10 @@ def bucket_links(fps: np.ndarray, reps: np.ndarray, limit: int, agree: np.ndarra
     return [(int(h), int(r)) for h, r in zip(head, reps, strict=True) if h != r]
 
 
-def links(nodes: DataFrame, limit: int = EXACT, tables: list[list[int]] | None = None, least: float = 0.0) -> DataFrame:
-    """(u, v), u < v: enough links between class representatives to join what is connected.
-
-    ``nodes`` has (fp, rep) with distinct fp, or (fp, rep, sketch) where shingle
-    sets count as well (several nodes may then share a fingerprint).
-    """
+def links(nodes: DataFrame, limit: int = EXACT) -> DataFrame:
+    """(u, v), u < v: enough links between class representatives (fp, rep), with distinct fp, to join what is connected."""
     spark = nodes.sparkSession
-    tables = tables or exact_tables()
-    sketch = "sketch" in nodes.columns
-    extra = ", sketch binary" if sketch else ""
+    tables = exact_tables()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +189,8 @@ def links(nodes: DataFrame, limit: int = EXACT, tables: list[list[int]] | None =
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(key)]
             many = np.flatnonzero(ends - starts > 1)
             out: list[tuple[int, int]] = []
-            signs = rows.column("sketch") if sketch else None
             for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                agree = np.frombuffer(b"".join(signs.slice(s, e - s).to_pylist()), np.uint64).reshape(e - s, -1) if sketch else None
-                out += bucket_links(fps[s:e], reps[s:e], limit, agree, least)
+                out += bucket_links(fps[s:e], reps[s:e], limit)
             if out:
                 uv = np.array(out, np.int64)
                 return pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
@@ -272,8 +215,7 @@ def links(nodes: DataFrame, limit: int = EXACT, tables: list[list[int]] | None =
         if held and (found := solve(pa.Table.from_batches(held))) is not None:
             yield found
 
-    columns = ["fp", "rep"] + ["sketch"] * sketch
-    dealt = nodes.select(*columns).mapInArrow(deal, f"key long, fp long, rep long{extra}")
+    dealt = nodes.select("fp", "rep").mapInArrow(deal, "key long, fp long, rep long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # within a bucket the order is by rep, so that results do not depend on the order of arrival
     met = dealt.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(meet, "u long, v long")
@@ -350,32 +292,83 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def set_links(reps: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Spanning forest, as (smaller rep, other rep), of the pairs whose sets have a Jaccard similarity of ``similarity`` or more."""
-    sizes, label = np.array([len(x) for x in sets]), np.arange(len(sets))
-    for i in range(len(sets)):
-        if (label == label[0]).all():
-            break
-        later = np.arange(i + 1, len(sets))
-        fits = np.minimum(sizes[later], sizes[i]) >= (similarity - 1e-9) * np.maximum(sizes[later], sizes[i])
-        linked = []
-        for j in later[fits & (label[later] != label[i])].tolist():
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if shared / (sizes[i] + sizes[j] - shared) >= similarity:
-                linked.append(j)
-        if linked:
-            label[np.isin(label, label[linked])] = label[i]
-    least = np.full(len(sets), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, np.array(reps, np.int64))
-    return [(int(h), r) for h, r in zip(least[label], reps, strict=True) if h != r]
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``similarity`` or more."""
+    if min(len(a), len(b)) < (similarity - 1e-9) * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) >= similarity
+
+
+def set_links(asked: list[tuple[int, int, np.ndarray]], against: list[tuple[int, int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """(rep, rep) links of the (rep, component, set) rows ``asked`` with those ``against``, as many as connect what is apart."""
+    names = {c: k for k, c in enumerate({c for _, c, _ in asked} | {c for _, c, _ in against})}
+    forest = _Forest(len(names))
+    sizes = np.array([len(x) for _, _, x in against])
+    component = np.array([names[c] for _, c, _ in against])
+    found = []
+    for rep, own, x in asked:
+        fits = np.minimum(sizes, len(x)) >= (similarity - 1e-9) * np.maximum(sizes, len(x))
+        for j in np.flatnonzero(fits & (forest.roots()[component] != forest.find(names[own]))).tolist():
+            p, q = forest.find(names[own]), forest.find(int(component[j]))
+            if p != q and alike(x, against[j][2], similarity):
+                found.append((rep, against[j][0]))
+                forest.parent[max(p, q)] = min(p, q)
+    return found
+
+
+def _longs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    uv = np.array(rows, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
+
+
+def _group_links(members: DataFrame, sets: DataFrame, joined: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(u, v) of the groups that ``joined`` (node, component) leaves in parts.
+
+    Their members outside the group's largest part are asked against all, in
+    blocks of about ``most``: what is inside that part is connected already.
+    """
+    own = members.join(joined, members["rep"] == joined["node"], "left").select("key", "n", "rep", "address", F.coalesce("component", "rep").alias("component"))
+    own = stored(own.where("n > 2"))  # of two members the centre's comparison is all there is
+    parts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"), F.max("size").alias("size"))
+    open_groups = stored(largest.where("parts > 1").select("key", "largest", "size"))
+    rows = own.join(open_groups, "key")
+    blocks = lambda size: F.ceil(size / F.lit(float(most))).cast("int")
+    asks, number = F.col("component") != F.col("largest"), F.xxhash64("address")
+    all_blocks, ask_blocks = blocks(F.col("n")), blocks(F.col("n") - F.col("size"))
+    every = lambda count: F.sequence(F.lit(0), count - 1)
+    place = ["key", "rep", "address", "component"]
+    asked = rows.where(asks).select(*place, F.pmod(number, ask_blocks).cast("int").alias("i"), F.explode(every(all_blocks)).alias("j"), F.lit(0).alias("role"))
+    against = rows.select(*place, F.explode(every(ask_blocks)).alias("i"), F.pmod(number, all_blocks).cast("int").alias("j"), F.lit(1).alias("role"))
+    dealt = asked.unionByName(against).join(sets, "address")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        now = None
+        for batch in batches:
+            for key, i, j, role, rep, component, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != now:
+                    if found := set_links(*held, similarity):
+                        yield _longs(found)
+                    held, now = ([], []), (key, i, j)
+                held[role].append((rep, component, np.frombuffer(shingles, np.uint64)))
+        if found := set_links(*held, similarity):
+            yield _longs(found)
+
+    parts_wanted = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    met = dealt.select("key", "i", "j", "role", "rep", "component", "shingles").repartition(parts_wanted, "key", "i", "j").sortWithinPartitions("key", "i", "j", "role", "rep")
+    return met.mapInArrow(meet, "u long, v long").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, most: int = GROUP) -> DataFrame:
     """(doc_id, component_id) on ``k``-word shingle sets of at least ``similarity``.
 
-    Candidates are sets that agree on one of ``BANDS`` bands of ``ROWS`` minima
-    (a pair at 0.8 does with 99.98 %, one at 0.85 with 99.999 %).  The sets of those,
-    and only those, meet band by band and are compared exactly.
+    Sets that agree on one of ``BANDS`` bands of ``ROWS`` minima are a group (a pair
+    at 0.8 is with 99.98 %, one at 0.85 with 99.999 %); of groups with the same
+    members one is looked at.  All comparisons are exact, on the sets.  First each
+    member is compared with its group's centre, one pair for each, however large
+    the group; what that leaves in parts is compared in full by ``_group_links``.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -389,40 +382,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), addresses, keys], names=["doc_id", "address", "keys"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # rows that repeat an id stand in one partition
         for batch in batches:
-            for text, rep, address, keys in zip(*(batch.column(c) for c in ("text", "rep", "address", "keys")), strict=True):
-                shingles = np.unique(shingle_hashes(text.as_py(), k)).tobytes()
-                if hashlib.md5(shingles).digest() == address.as_py():  # not another text of the same id
-                    n = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.as_py(), pa.int64()), pa.array([rep.as_py()] * n, pa.int64()), pa.array([shingles] * n, pa.binary())], names=["key", "rep", "shingles"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], None] = {}
-        now = None
-
-        def solve() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 and (found := set_links([r for r, _ in held], [np.frombuffer(x, np.uint64) for _, x in held], similarity)):
-                uv = np.array(found, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
-
+            rows = []
+            for text, address in zip(batch.column("text"), batch.column("address").to_pylist(), strict=True):
+                if address not in seen and hashlib.md5(own := np.unique(shingle_hashes(text.as_py(), k)).tobytes()).digest() == address:  # not another text of the same id
+                    seen.add(address)
+                    rows.append((address, own))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["address", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, rep, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
-                    yield from solve()
-                    held.clear()
-                    now = key
-                held[rep, shingles] = None
-        yield from solve()
-
-    marked = cut(texts.mapInArrow(mark, "doc_id long, address binary, keys array<long>"))
-    classes = marked.groupBy("address").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    bands = classes.where(F.col("rep").isNotNull()).select("rep", "address", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = bands.join(shared, "key").groupBy("rep", "address").agg(F.collect_list("key").alias("keys"))
-    named = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", "rep", "address", "keys")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = named.mapInArrow(fetch, "key long, rep long, shingles binary").repartition(parts, "key").sortWithinPartitions("key", "rep")
-    found = components(dealt.mapInArrow(meet, "u long, v long").distinct())
+            pairs = zip(*(batch.column(c) for c in ("shingles", "c_shingles")), strict=True)
+            yield batch.select(["u", "v"]).filter(pa.array([alike(*(np.frombuffer(x.as_py(), np.uint64) for x in p), similarity) for p in pairs], pa.bool_()))
+
+    marked = stored(texts.mapInArrow(mark, "doc_id long, address binary, keys array<long>"))
+    classes = stored(marked.groupBy("address").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    bands = classes.where(F.col("rep").isNotNull()).select(F.explode("keys").alias("key"), "rep", "address")
+    shared = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = stored(bands.join(shared, "key"))
+    seen = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("address")))
+    groups = members.groupBy("key", "n").agg(F.min(F.struct("rep", "address")).alias("center"), seen(1).alias("a"), seen(2).alias("b"))
+    members = stored(members.join(stored(groups.groupBy("n", "a", "b").agg(F.min("key").alias("key"), F.min("center").alias("center")).select("key", "center")), "key"))
+    wanted = members.select("rep", "address").distinct()
+    sets = stored(texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", "address").mapInArrow(fetch, "address binary, shingles binary"), wide=True)
+    pairs = members.where(F.col("address") != F.col("center.address")).select("address", F.col("center.address").alias("c_address"), F.col("center.rep").alias("u"), F.col("rep").alias("v")).distinct()
+    both = pairs.join(sets, "address").join(sets.select(F.col("address").alias("c_address"), F.col("shingles").alias("c_shingles")), "c_address")
+    central = stored(both.select("u", "v", "shingles", "c_shingles").mapInArrow(verify, "u long, v long"), wide=True)
+    found = components(central.unionByName(_group_links(members, sets, components(central), similarity, most)))
     ends = classes.select("address", "rep").join(found, F.col("rep") == F.col("node"), "left").select("address", F.coalesce("component", "rep").alias("component_id"))
     return marked.select("doc_id", "address").join(ends, "address").select("doc_id", "component_id")
 
@@ -432,6 +420,6 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
 
     Rows that repeat a doc_id stand or fall together.
     """
-    grouped = near_duplicates(docs, k, similarity)
-    gone = grouped.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    grouped, name = near_duplicates(docs, k, similarity), free_name(docs, "gone")
+    gone = grouped.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(name), "left_anti")
