@@ -5,7 +5,9 @@ and what it measured is a column, so policies (sets of rules with a version) and
 ablations are bit arithmetic over the ledger and never read a text again.
 
 Everything is a row-wise SQL expression: there is no shuffle and no Python, so a
-hot source or copy group costs what its rows cost.
+hot source or copy group costs what its rows cost.  The query stores the ledger and
+reads policies and the ablation (the rule whose removal would keep a document) off
+it; ``ablations`` sums the same over a corpus.
 
 Defined cases: a null or empty text has no word, every measurement 0 and fails
 the word-count rule; a text of one very long word is one word; repeated rows are
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, free_name, let, text_or_empty
+from .common import WORD_REGEX, free_name, let, stored, text_or_empty
 
 #: Words in a window of the repetition rule.
 WINDOW = 8
@@ -165,6 +167,15 @@ def ablations(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return row.select(F.lit(policy.version).alias("policy_version"), "n_docs", "n_kept", F.explode(F.array(*entries)).alias("e")).select("policy_version", "n_docs", "n_kept", "e.*")
 
 
+def sole_failure(bits: Column, policy: Policy = POLICY) -> Column:
+    """The rule without which the policy would accept the document: the only one of its rules that fails; null if none or several do."""
+    mine, out = bits.bitwiseAND(F.lit(policy.mask).cast("long")), F
+    for rule in RULES:
+        if rule.name in policy.rules:
+            out = out.when(mine == F.lit(1 << rule.bit).cast("long"), rule.name)
+    return out
+
+
 def keep_good(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """The documents that the policy accepts, with their own columns only."""
     judged, name = with_ledger(docs)
@@ -172,11 +183,11 @@ def keep_good(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
-    """The rows of the ``op10`` contract."""
-    rows = apply_policy(ledger(docs))
+    """The rows of the ``op10`` contract: the ledger is stored, policies and the ablation are read off it."""
+    rows = apply_policy(stored(ledger(docs)))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~passes(F.col("fail_bits"), BASE_POLICY)).alias("base_failed"), "kept", "fail_bits", "policy_version",
+        (~passes(F.col("fail_bits"), BASE_POLICY)).alias("base_failed"), "kept", "fail_bits", "policy_version", sole_failure(F.col("fail_bits")).alias("sole_failure"),
     )
 
 
@@ -195,4 +206,5 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(
   FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
   + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END + CASE WHEN n_words > 1000000 THEN 64 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {base} <> 0 AS base_failed, fail_bits & {full} = 0 AS kept, fail_bits, CAST({POLICY.version} AS INTEGER) AS policy_version FROM b"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {base} <> 0 AS base_failed, fail_bits & {full} = 0 AS kept, fail_bits, CAST({POLICY.version} AS INTEGER) AS policy_version,
+ CASE fail_bits & {full} {" ".join(f"WHEN {1 << r.bit} THEN '{r.name}'" for r in RULES if r.name in POLICY.rules)} END AS sole_failure FROM b"""

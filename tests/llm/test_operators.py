@@ -72,6 +72,7 @@ def test_quality_policy_and_ablation(docs):
         if rule.name in table:
             assert table[rule.name]["n_failed"] == sum(bool(b >> rule.bit & 1) for b in bits)
             assert table[rule.name]["n_only_this"] == sum(b == 1 << rule.bit for b in bits)
+            assert table[rule.name]["n_only_this"] == quality.quality_digest(docs).where(F.col("sole_failure") == rule.name).count()
 
 
 def test_quality_clashing_columns(docs, none):
@@ -180,8 +181,41 @@ def test_near_duplicates_at_the_threshold(spark, changed, alike):
 
 def test_set_links_at_exactly_the_threshold():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
-    assert simhash.set_links([3, 7], [a, b], 0.8) == [(3, 7)]
-    assert simhash.set_links([3, 7], [a[:8], b[:8]], 0.8) == []
+    assert simhash.set_links([(3, 3, a)], [(3, 3, a), (7, 7, b)], 0.8) == [(3, 7)]
+    assert simhash.set_links([(3, 3, a[:8])], [(3, 3, a[:8]), (7, 7, b[:8])], 0.8) == []
+
+
+@pytest.mark.parametrize("most", [1024, 5])
+def test_near_duplicates_brute(spark, most):
+    """Families of drifting copies, some of which only a chain connects, against all pairs."""
+    draw = np.random.default_rng(17)
+    texts = []
+    for family in range(6):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(25):
+            texts.append((len(texts), " ".join(words)))
+            words = list(words) if draw.random() < 0.3 else words
+            for at in draw.choice(120, draw.integers(0, 3), replace=False):
+                words[at] = f"x{draw.integers(1 << 40)}"
+    texts += [(500, None), (501, ""), (502, "one"), (503, "one"), (None, "one"), (504, texts[3][1]), (504, texts[30][1])]
+
+    def shingles(text):
+        words = WORD.findall(text or "")
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = {i: shingles(t) for i, t in texts if i is not None and i < 504}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = connected(sets, linked)
+    table = spark.createDataFrame(texts, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("key", F.lit(2)).withColumn("address", F.lit(3))
+    got = simhash.near_duplicates(table, most=most)
+    assert {r["doc_id"]: r["component_id"] for r in got.where("doc_id < 504").collect()} == want
+    kept = simhash.keep_one(table)
+    assert kept.columns == table.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
+
+
+def test_near_duplicates_of_nothing(none):
+    assert simhash.keep_one(none).count() == 0
 
 
 # ------------------------------------------------------------------- repeats
@@ -506,22 +540,48 @@ def test_license_brute(spark, docs, none):
         if re.search(r"\n[\x20\t\r]*\n", text):
             yield "t", text
 
+    lengths = {i: len(re.findall(r"[^\W_]+", text.lower())) for i, (_, text) in enumerate(licenses.TEMPLATES)}
     want = {}
     for r in more.collect():
+        found = collections.defaultdict(list)  # unit -> (common, score, licence)
         for unit, text in units(r["text"] or ""):
             words = re.findall(r"[^\W_]+", text.lower())
             mine = {f"{a} {b}" for a, b in itertools.pairwise(words)}
-            scores = [(2 * len(mine & set(t)) / (len(mine) + len(t)), name) for _, name, t in templates if mine]
-            best = max(scores, default=(0, ""))[0]
-            for score, name in scores:
-                if score == best and score >= licenses.THRESHOLD:
-                    want[r["doc_id"], name] = max(want.get((r["doc_id"], name), 0), score)
+            found[unit] += [(len(mine & set(t)), 2 * len(mine & set(t)) / (len(mine) + len(t)), name) for _, name, t in templates if mine]
+        pairs = [f"{a} {b}" for a, b in itertools.pairwise(re.findall(r"[^\W_]+", (r["text"] or "").lower()))]
+        for i, name, t in templates:
+            for p in [p for p, b in enumerate(pairs) if b in set(t)]:
+                inside = pairs[p : p + lengths[i] - 1]
+                common = len(set(inside) & set(t))
+                found[f"w{p}"].append((common, 2 * common / (common + sum(b not in set(t) for b in inside) + len(t)), name))
+        for scores in found.values():
+            good = [x for x in scores if x[1] >= licenses.THRESHOLD]
+            for x in good:
+                if x[:2] == max(good)[:2]:
+                    want[r["doc_id"], x[2]] = max(want.get((r["doc_id"], x[2]), 0), x[1])
     got = {(r["doc_id"], r["license"]): r["score"] for r in licenses.licenses_digest(more.withColumn("unit", F.lit(1))).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
     assert licenses.licenses_digest(none).count() == 0
 
 
+def test_licenses_inside_longer_files(spark):
+    """Notices in a line with other words, and templates over several paragraphs of a longer file."""
+    wrap = lambda text, words: re.sub(r"\s*\n\s*", "\n\n", re.sub(rf"((?:\S+ ){{{words}}})", r"\1\n", text))
+    texts = [
+        (1, "This module is licensed under the MIT License and comes as it is."),
+        (2, "Copyright 2024 Foo Inc. All rights reserved. No more to say."),
+        (3, "word " * 400 + wrap(licenses._GPL.format(v=3), 23) + " word" * 300),
+        (4, "Copyright (c) 2020, A\n\n" + wrap(licenses._BSD_TWO + licenses._BSD_WARRANTY, 31) + "\n\ncode follows " * 50),
+        (5, "one very long line: " + "x " * 3000 + licenses._BSD_THREE + licenses._BSD_WARRANTY + " y" * 3000),
+        (6, "a licence is something else"),
+    ]
+    got = collections.defaultdict(set)
+    for r in licenses.licenses_digest(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert got == {1: {"MIT"}, 2: {"Proprietary"}, 3: {"GPL-3.0"}, 4: {"BSD-2-Clause"}, 5: {"BSD-3-Clause"}}
+
+
 def test_license_keywords_touch_every_template():
     chosen = set(licenses.keywords())
     for _, name, bigrams in licenses.template_rows():
