@@ -74,7 +74,7 @@ class Frame:
     join: Callable[[object, list[tuple[int, int]]], bytes]  # tokens, kept runs -> bytes
     index: GroupIndex
     #: Places of one key that a task holds at once.
-    most: int = 1 << 13
+    most: int = 1 << 11
 
     @property
     def key(self) -> int:
@@ -299,7 +299,7 @@ def covered(docs: DataFrame, frame: Frame) -> tuple[DataFrame, DataFrame]:
     small, large = F.col("places") <= frame.most, twice.where(F.col("places") > frame.most)
     groups, known = [contexts(twice.where(small))], []
     if not large.isEmpty():
-        more_groups, known = _split(stored(contexts(large)), frame)
+        more_groups, known = _split(stored(contexts(large), wide=True), frame)
         groups += more_groups
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = reduce(DataFrame.unionByName, groups).repartition(parts, "key", "kind").sortWithinPartitions("key", "kind", "rep", "twin", "at")
