@@ -22,7 +22,7 @@ def folder(spark, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["bm25f_phrase_fuzzy", "bm25f_scores", "composite_scores"])
+@pytest.mark.parametrize("name", ["bm25f_phrase_fuzzy", "bm25f_scores", "composite_scores", "initial_ranking"])
 def test_query_equals_its_sql(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
