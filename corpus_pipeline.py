@@ -39,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with 80 % of their five-word shingles in common, one stays."""
+    """Of documents with 80 % of their five-word shingles in common, one stays: by SimHash and pivot distance tables, and by bands of minima for what lies farther apart."""
     return simhash.keep_one(docs)
 
 

@@ -361,14 +361,27 @@ def _group_links(members: DataFrame, sets: DataFrame, joined: DataFrame, similar
     return met.mapInArrow(meet, "u long, v long").distinct()
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v, c_address, address) of classes (rep, address, fp) to compare: what ``links`` joins, and each class with the first one of its fingerprint."""
+    named = classes.where(F.col("rep").isNotNull()).select("rep", "address", "fp")
+    heads = stored(named.groupBy("fp").agg(F.min(F.struct("rep", "address")).alias("head")).select("fp", "head.rep", "head.address"))
+    at = lambda end, address: heads.select(F.col("rep").alias(end), F.col("address").alias(address))
+    near = links(heads).join(at("u", "c_address"), "u").join(at("v", "address"), "v")
+    same = named.join(heads.select("fp", F.col("rep").alias("u"), F.col("address").alias("c_address")), "fp").where(F.col("address") != F.col("c_address"))
+    return near.select("u", "v", "c_address", "address").unionByName(same.select("u", F.col("rep").alias("v"), "c_address", "address"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, most: int = GROUP) -> DataFrame:
     """(doc_id, component_id) on ``k``-word shingle sets of at least ``similarity``.
 
-    Sets that agree on one of ``BANDS`` bands of ``ROWS`` minima are a group (a pair
-    at 0.8 is with 99.98 %, one at 0.85 with 99.999 %); of groups with the same
-    members one is looked at.  All comparisons are exact, on the sets.  First each
-    member is compared with its group's centre, one pair for each, however large
-    the group; what that leaves in parts is compared in full by ``_group_links``.
+    Each set has its fingerprint, and pivot distance tables in exact buckets find
+    what lies within ``EXACT`` bits, as for ``simhash_components``.  Sets at the
+    limit differ in about ten bits, so that is not all: sets that agree on one of
+    ``BANDS`` bands of ``ROWS`` minima are a group (a pair at 0.8 is with 99.98 %,
+    one at 0.85 with 99.999 %); of groups with the same members one is looked at.
+    All comparisons are exact, on the sets.  First come the pairs of the pivot
+    tables, and each member of a group with its centre, one pair for each, however
+    large the group; what that leaves in parts is compared in full by ``_group_links``.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -378,8 +391,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, most:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column("text")]
             addresses = pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary())
+            fps = pa.array(np.array([fingerprint(x) for x in sets], np.uint64).view(np.int64))
             keys = pa.array([band_keys(x).tolist() if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), addresses, keys], names=["doc_id", "address", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), addresses, fps, keys], names=["doc_id", "address", "fp", "keys"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # rows that repeat an id stand in one partition
@@ -397,20 +411,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, most:
             pairs = zip(*(batch.column(c) for c in ("shingles", "c_shingles")), strict=True)
             yield batch.select(["u", "v"]).filter(pa.array([alike(*(np.frombuffer(x.as_py(), np.uint64) for x in p), similarity) for p in pairs], pa.bool_()))
 
-    marked = stored(texts.mapInArrow(mark, "doc_id long, address binary, keys array<long>"))
-    classes = stored(marked.groupBy("address").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    marked = stored(texts.mapInArrow(mark, "doc_id long, address binary, fp long, keys array<long>"))
+    classes = stored(marked.groupBy("address").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    met = stored(fingerprint_pairs(classes))
     bands = classes.where(F.col("rep").isNotNull()).select(F.explode("keys").alias("key"), "rep", "address")
     shared = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = stored(bands.join(shared, "key"))
     seen = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("address")))
     groups = members.groupBy("key", "n").agg(F.min(F.struct("rep", "address")).alias("center"), seen(1).alias("a"), seen(2).alias("b"))
     members = stored(members.join(stored(groups.groupBy("n", "a", "b").agg(F.min("key").alias("key"), F.min("center").alias("center")).select("key", "center")), "key"))
-    wanted = members.select("rep", "address").distinct()
+    wanted = members.select("rep", "address").union(met.select("u", "c_address")).union(met.select("v", "address")).distinct()
     sets = stored(texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("text", "address").mapInArrow(fetch, "address binary, shingles binary"), wide=True)
-    pairs = members.where(F.col("address") != F.col("center.address")).select("address", F.col("center.address").alias("c_address"), F.col("center.rep").alias("u"), F.col("rep").alias("v")).distinct()
+    central = members.where(F.col("address") != F.col("center.address")).select(F.col("center.rep").alias("u"), F.col("rep").alias("v"), F.col("center.address").alias("c_address"), "address")
+    pairs = central.unionByName(met).distinct()
     both = pairs.join(sets, "address").join(sets.select(F.col("address").alias("c_address"), F.col("shingles").alias("c_shingles")), "c_address")
-    central = stored(both.select("u", "v", "shingles", "c_shingles").mapInArrow(verify, "u long, v long"), wide=True)
-    found = components(central.unionByName(_group_links(members, sets, components(central), similarity, most)))
+    linked = stored(both.select("u", "v", "shingles", "c_shingles").mapInArrow(verify, "u long, v long"), wide=True)
+    found = components(linked.unionByName(_group_links(members, sets, components(linked), similarity, most)))
     ends = classes.select("address", "rep").join(found, F.col("rep") == F.col("node"), "left").select("address", F.coalesce("component", "rep").alias("component_id"))
     return marked.select("doc_id", "address").join(ends, "address").select("doc_id", "component_id")
 

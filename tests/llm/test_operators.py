@@ -214,6 +214,21 @@ def test_near_duplicates_brute(spark, most):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
 
 
+def test_near_duplicates_by_pivot_tables(spark, monkeypatch):
+    """Without bands, what the pivot tables find within ``EXACT`` bits is still found, and nothing below the similarity."""
+    monkeypatch.setattr(simhash, "band_keys", lambda shingles: np.empty(0, np.int64))
+    texts = []
+    for n in range(20):
+        words = [f"w{n}x{i}" for i in range(400)]
+        texts += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words[:-1], "other"]))]
+    prints = {i: simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5))) for i, t in texts}
+    near = {i + 1 for i in range(0, 40, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= simhash.EXACT}
+    assert len(near) > 10
+    far = [(100, "a b c d e"), (101, "a b c d f")]  # one shingle each
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(texts + far, "doc_id long, text string")).collect())
+    assert kept == [i for i, _ in texts + far if i not in near]
+
+
 def test_near_duplicates_of_nothing(none):
     assert simhash.keep_one(none).count() == 0
 
