@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 #: Unicode word characters; ``\\w`` would be ASCII here.
 TOKEN = r"[\p{L}\p{N}_]+"
 
+# Letters and numbers of Unicode 14 and 15, which RE2 knows and Java 17 does not.
+LATER = (
+    "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7D0-A7D1 A7D3 A7D5-A7D9 A7F2-A7F4 10570-1057A 1057C-1058A "
+    "1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 10780-10785 10787-107B0 107B2-107BA 10F70-10F81 11071-11072 11075 1123F-11240 "
+    "11740-11746 11AB0-11ABF 11F02 11F04-11F10 11F12-11F33 11F50-11F59 12F90-12FF0 1342F 13441-13446 16A70-16ABE 16AC0-16AC9 1AFF0-1AFF3 1AFF5-1AFFB "
+    "1AFFD-1AFFE 1B11F-1B122 1B132 1B155 1D2C0-1D2D3 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E290-1E2AD 1E4D0-1E4EB 1E4F0-1E4F9 1E7E0-1E7E6 1E7E8-1E7EB "
+    "1E7ED-1E7EE 1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 31350-323AF"
+)
+_LATER = "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in LATER.split())
+#: The same with letters that the Java version may not know; others are told by one comparison.
+KNOWN_TOKEN = rf"[\p{{L}}\p{{N}}_[\x{{870}}-\x{{323AF}}&&[{_LATER}]]]+"
+# Letters whose lower case hangs on the letters around, is two characters, or is a letter only since Unicode 16.
+CASE_APART = (("\u0130", "i"), ("\u03a3", "\u03c3"), ("\ua7cb", " "), ("\ua7dc", " "))
+
 # The stemmer's rules in order, as (suffix, replacement, shortest stem).
 STEM_RULES: tuple[tuple[str, str, int], ...] = (
     ("ational", "ate", 3), ("tional", "tion", 3), ("iveness", "ive", 3), ("fulness", "ful", 3), ("ousness", "ous", 3),
@@ -48,8 +62,15 @@ def stem(word: str) -> Column:
     return F.expr(stem_sql(word, f"length({word}) = octet_length({word})"))
 
 
+def lowered(text: Column) -> Column:
+    """Lower case letter by letter, as in the queries' SQL: İ is i, and Σ is σ at a word's end too."""
+    for upper, own in CASE_APART:
+        text = F.replace(text, F.lit(upper), F.lit(own))
+    return F.lower(text)
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(f"({KNOWN_TOKEN})"), F.lit(1))
 
 
 def stem_word(word: str) -> str:

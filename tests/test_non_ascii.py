@@ -38,3 +38,14 @@ def test_edits_are_of_bytes_or_characters(spark, edits, hits):
     docs = spark.createDataFrame([(0, "ühe"), (4, "the")], "pos long, title string").select("*", *[F.lit("").alias(c) for c in ("snippet", "content", "url")])
     got = bm25f.scores(docs, "the", settings=bm25f.Settings(edits=edits)).where("bm25f > 0").collect()
     assert sorted(r["pos"] for r in got) == hits
+
+
+# Letters whose case hangs on their neighbours or is two characters in Java, and letters of Unicode 14 to 16.
+LETTERS = ["WİTH from", "fromΣ only", "ΑΣ the", "theࡰwith", "onlyꟐ", "with \U00031350from", "fromꟋthe", "theꟜonly", "only with", "the İt"]
+
+
+@pytest.mark.parametrize("name", ["bm25f_scores"])
+def test_letters_are_those_of_the_sql(spark, tmp_path, name):
+    rows = [(i, t, "de", f"src{i % 3}", len(t)) for i, t in enumerate(LETTERS)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    test_query_equals_its_sql(spark, str(tmp_path), name)
