@@ -216,16 +216,22 @@ def composite(rows: DataFrame, hint: str, now: Column, weights: tuple[float, flo
             "freshness": dates.freshness(dates.parse(F.col("timestamp")), F.coalesce("content_type", F.lit(hint)), now),
         }
     ).drop("low", "high")
-    total = wr * F.col("relevance") + wa * F.col("authority") + wf * F.col("freshness") + wd * F.col("diversity")
+    # known authorities are decimals, and so is their share: a sum may lie halfway between two roundings
+    share = F.round(wa * F.col("authority"), 12)
+    total = wr * F.col("relevance") + share + wf * F.col("freshness") + wd * F.col("diversity")
     return signals.withColumn("composite_score", total)
 
 
 def diversity(rows: DataFrame, cluster: str = "cluster", pos: str = "pos") -> DataFrame:
-    """``rows`` and ``diversity``: the k-th member (from 0) of a cluster of several gets 1 - k / largest cluster."""
+    """``rows`` and ``diversity``: the k-th member (from 0) of a cluster of several gets 1 - k / largest cluster.
+
+    Rows without a cluster name are one cluster.
+    """
     sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("members"))
     largest = sizes.agg(F.greatest(F.max("members"), F.lit(2)).alias("largest"))
     place = F.row_number().over(Window.partitionBy(cluster).orderBy(pos)) - 1
-    joined = rows.withColumn("place", place).join(sizes, cluster).crossJoin(F.broadcast(largest))  # one row
+    same = F.col(f"r.{cluster}").eqNullSafe(F.col(f"s.{cluster}"))
+    joined = rows.withColumn("place", place).alias("r").join(sizes.alias("s"), same).select("r.*", "members").crossJoin(F.broadcast(largest))  # one row
     return joined.withColumn("diversity", F.when(F.col("members") == 1, 1.0).otherwise(1 - F.col("place") / F.col("largest"))).drop("place", "members", "largest")
 
 
