@@ -44,7 +44,7 @@ def test_edits_are_of_bytes_or_characters(spark, edits, hits):
 LETTERS = ["WİTH from", "fromΣ only", "ΑΣ the", "theࡰwith", "onlyꟐ", "with \U00031350from", "fromꟋthe", "theꟜonly", "only with", "the İt"]
 
 
-@pytest.mark.parametrize("name", ["bm25f_scores", "composite_scores"])
+@pytest.mark.parametrize("name", ["bm25f_scores", "composite_scores", "initial_ranking"])
 def test_letters_are_those_of_the_sql(spark, tmp_path, name):
     rows = [(i, t, "de", f"src{i % 3}", len(t)) for i, t in enumerate(LETTERS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
