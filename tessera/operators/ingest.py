@@ -18,10 +18,13 @@ def candidates_from_documents(docs: DataFrame, hosts: tuple[str, ...], sources:
     """Candidate records of a text table.
 
     The title is the head of the first line; host, source name, type and date
-    follow from doc_id, so that rankings have all their signals.
+    follow from doc_id, so that rankings have all their signals.  As in the
+    queries' SQL a remainder has the sign of doc_id: places below 0 count from the
+    end, place 0 is null, and dates are later than ``newest``.
     """
-    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod("doc_id", F.lit(len(xs))) + 1).cast("int"))
-    at = F.to_timestamp(F.lit(newest)) - F.make_interval(hours=F.pmod(F.col("doc_id") * 7, F.lit(3000)).cast("int"))
+    place = lambda n: (F.col("doc_id") % n + 1).cast("int")
+    pick = lambda xs: F.when(place(len(xs)) != 0, F.element_at(F.array(*[F.lit(x) for x in xs]), place(len(xs))))
+    at = F.to_timestamp(F.lit(newest)) - F.make_interval(hours=(F.col("doc_id") * 7 % 3000).cast("int"))
     return docs.select(
         F.col("doc_id").alias("pos"),
         F.substring(F.split("text", "\n")[0], 1, 120).alias("title"),
