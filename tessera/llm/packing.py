@@ -50,6 +50,8 @@ _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 
 #: Words of characters below U+0250: in composed form already, of settled letter classes, and no special token.
 _PLAIN = re.compile("[!-;=-~\xa1-\u024f]+")
+#: Marks that are a piece of their own behind letters.
+_MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
 # Fixed value: the tokenizer's pattern of pieces.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -77,6 +79,17 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class _Words(dict):
+    """Words and their ids; a word that is not known yet is asked for once."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        code = self[word] = self.ask(word)
+        return code
+
+
 class WordEncoder:
     """Ids of a text as little-endian 32-bit bytes, by remembered white-space-separated words.
 
@@ -90,43 +103,32 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.ids: dict[str, bytes] = {}
+        self.ids = _Words(self._word)
         self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Words(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode()))
+        return _packed([t.id for t in self.model.tokenize(shown)])
 
-    def _learn(self, words: list[str]) -> None:
+    def _word(self, word: str) -> bytes:
         """Plain words skip the tokenizer's general text handling and go to its model piece by piece."""
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        rest = []
-        for word in words:
-            if _PLAIN.fullmatch(word):
-                code = b""
-                for piece in _PIECE.findall(word.lower()):
-                    known = self.pieces.get(piece)
-                    if known is None:
-                        shown = piece if piece.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, piece.encode()))
-                        known = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(shown)])
-                    code += known
-                self.ids[word] = code
-            else:
-                rest.append(word)
-        if rest:
-            for word, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.ids[word] = _packed(code.ids)
+        if (kept := self.old.get(word)) is not None:
+            return kept
+        if not _PLAIN.fullmatch(word):
+            return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        stem = low.rstrip(_MARKS)
+        if stem.isalpha():  # most words: letters, and marks behind them
+            return self.pieces[stem] if len(stem) == len(low) else self.pieces[stem] + self.pieces[low[len(stem) :]]
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(low)))
 
     def encode(self, text: str) -> bytes:
         words = _SPACE.split(text) if _PYTHON_ONLY_SPACE.search(text) else text.split()
         if len(self.ids) > CACHE_WORDS:
-            self.ids, self.old = {}, self.ids
-        new = []
-        for word in {w for w in words if w not in self.ids}:
-            if (kept := self.old.get(word)) is None:
-                new.append(word)
-            else:
-                self.ids[word] = kept
-        if new:
-            self._learn(new)
+            self.ids, self.old = _Words(self._word), self.ids
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
         return b"".join(map(self.ids.__getitem__, words))
 
 
