@@ -298,6 +298,20 @@ def test_repeats_without_doc_id(spark):
     assert counted(got, "doc_id", "n_words", "n_removed", "kept_sha256") == collections.Counter({(i, n, r, s): c for (i, n, r, _, s), c in want.items()})
 
 
+def test_repeats_of_repeated_rows(spark):
+    """Rows alike in id and text, long enough to have windows: each comes out once, whatever is shared with others."""
+    draw = np.random.default_rng(9)
+    words = lambda n: " ".join(f"{x:08x}" for x in draw.integers(0, 2**32, n))
+    notice, own = words(60), words(80)
+    texts = [(1, own)] * 2 + [(None, f"{notice} {own}")] * 3 + [(2, f"{words(9)} {notice}"), (3, words(110)), (0, words(70)), (7, own)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    got = suffix_array.suffix_array_digest(table)
+    assert counted(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(texts, 400, str.encode, b"".join)
+    got = suffix_tree.suffix_tree_digest(table)
+    want = removed(texts, 35, lambda t: t.encode().split(), b" ".join)
+    assert counted(got, "doc_id", "n_words", "n_removed", "kept_sha256") == collections.Counter({(i, n, r, s): c for (i, n, r, _, s), c in want.items()})
+
+
 @pytest.mark.parametrize("index", [suffix_array.intervals, suffix_tree.internal_nodes])
 def test_group_indexes_agree_with_pairs(index):
     draw = np.random.default_rng(5)
